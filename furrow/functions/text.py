@@ -98,7 +98,7 @@ def first_contained(msg: Column, vocab: list[str] | Column, strip_items: bool =
     low = F.lower(msg)
     item_key = (lambda v: F.lower(strip_ws(v))) if strip_items else F.lower
     hits = F.filter(arr, lambda v: F.contains(low, item_key(v)))
-    return F.coalesce(F.element_at(hits, 1), F.element_at(arr, 1))
+    return F.coalesce(F.try_element_at(hits, F.lit(1)), F.try_element_at(arr, F.lit(1)))
 
 
 def split_sentences(text: Column) -> Column:

@@ -100,7 +100,7 @@ def _messages_sql() -> str:
     soil = f"{sql_list(SOILS)}[({k} // 5) % {len(SOILS)} + 1]"
     typ = f"{sql_list(PART_TYPES)}[({k} // 3) % {len(PART_TYPES)} + 1]"
     state = f"('NATION_' || {s('o_custkey % 25')})"
-    season = "lower(substr(o_orderpriority, 3, 100))"
+    season = "lower(o_orderpriority)"
     text = f"""CASE {k} % 6
   WHEN 0 THEN concat('What crop should I grow? N=', {s(a)}, ', P=', {s(b)}, ', K=', {s(c)}, ', temperature=', {s(t)}, ', humidity=', {s(hu)}, ', ph=', {ph}, ', rainfall=', {s(rn)})
   WHEN 1 THEN concat('Which crop suits nitrogen: ', {s(a)}, ' and rain = ', {s(rn)}, ' mm?')
@@ -126,7 +126,7 @@ def _preds_cls_sql() -> str:
 def _probs_sql() -> str:
     hs = [f"CAST({h32('prob', Raw('vec_id'), i)} % 1000 + 1 AS DOUBLE)" for i in range(N_PROB_CLASSES)]
     hs[1] = f"CASE WHEN vec_id % 5 = 0 THEN {hs[0]} ELSE {hs[1]} END"
-    return (f"SELECT row_id, list_transform(arr, x -> x / list_sum(arr)) AS probability FROM "
+    return (f"SELECT row_id, list_transform(arr, lambda x: x / list_sum(arr)) AS probability FROM "
             f"(SELECT vec_id AS row_id, [{', '.join(hs)}] AS arr FROM embeddings) z")
 
 
@@ -156,8 +156,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "corpus": ([], "SELECT doc_id AS id, lang AS category, source AS topic, text FROM documents"),
     "chat": ([], "SELECT conv_id, turn, role, text AS content FROM conversations"),
     "preds_cls": (["obs_full"], _preds_cls_sql()),
-    "preds_reg": (["yield_clean"], "SELECT y.rec_id, y.Crop, y.yield_per_hectare AS y, m.yhat FROM yield_clean y JOIN "
-                  "(SELECT Crop, avg(yield_per_hectare) AS yhat FROM yield_clean GROUP BY Crop) m ON y.Crop = m.Crop"),
+    "yield_scored": (["yield_clean"], "SELECT y.* EXCLUDE (yield_per_hectare), y.yield_per_hectare AS y, m.yhat FROM yield_clean y JOIN "
+                     "(SELECT Crop, avg(yield_per_hectare) AS yhat FROM yield_clean GROUP BY Crop) m ON y.Crop = m.Crop"),
+    "preds_reg": (["yield_scored"], "SELECT rec_id, Crop, y, yhat FROM yield_scored"),
     "probs": ([], _probs_sql()),
     "contribs": (["obs"], _contribs_sql()),
     "train_log": ([], "SELECT event_type AS run, event_id, value AS error, ts FROM events"),

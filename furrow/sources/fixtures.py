@@ -107,7 +107,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     soil = F.element_at(_arr(SOILS), (F.floor(k / 5) % len(SOILS)).cast("int") + 1)
     typ = F.element_at(_arr(PART_TYPES), (F.floor(k / 3) % len(PART_TYPES)).cast("int") + 1)
     state = F.concat(F.lit("NATION_"), s(F.col("o_custkey") % 25))
-    season = F.lower(F.substring(F.col("o_orderpriority"), 3, 100))
+    season = F.lower(F.col("o_orderpriority"))
     tpl = k % 6
     text = (
         F.when(tpl == 0, F.concat(F.lit("What crop should I grow? N="), s(a), F.lit(", P="), s(b),
@@ -178,13 +178,22 @@ def preds_cls(spark: SparkSession, sf_dir: str) -> DataFrame:
              .select("obs_id", "model", "Crop", "y", "yhat")
 
 
-def preds_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(rec_id, Crop, y, yhat): cleaned yield vs. the per-crop mean yield."""
+def yield_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned yield rows with a baseline prediction: the mean yield of the row's crop.
+
+    The per-crop means are a partial+final aggregate (no task holds a whole
+    crop) joined back; AQE broadcasts them when they are small.
+    """
     from furrow.operators.clean import yield_clean
     from furrow.operators.joins import attach_small
-    yc = yield_clean(yield_raw(spark, sf_dir)).select("rec_id", "Crop", F.col("yield_per_hectare").alias("y"))
+    yc = yield_clean(yield_raw(spark, sf_dir)).withColumnRenamed("yield_per_hectare", "y")
     means = yc.groupBy("Crop").agg(F.avg("y").alias("yhat"))
-    return attach_small(yc, means, "Crop").select("rec_id", "Crop", "y", "yhat")
+    return attach_small(yc, means, "Crop")
+
+
+def preds_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec_id, Crop, y, yhat): cleaned yield vs. the per-crop mean yield."""
+    return yield_scored(spark, sf_dir).select("rec_id", "Crop", "y", "yhat")
 
 
 N_PROB_CLASSES = 6
