@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.operators.ordering import indexed
@@ -25,25 +25,32 @@ def exact_quantiles(df: DataFrame, value_col: str, qs: list[float], group_cols:
                     key_col: str | None = None) -> DataFrame:
     """Exact, linearly interpolated quantiles per group (pandas / quantile_cont rule).
 
-    The values are range-partitioned and positioned (``indexed``), so no task
-    holds a whole group and no per-value map is built in one task. Output:
-    group columns + one column ``q_<i>`` per requested quantile.
+    Values are first reduced to (group, value, count) by a partial+final
+    aggregate, so a hot value is one row. Distinct values are positioned with
+    ``indexed`` (bucketed, no single-task window) and cumulative counts locate
+    the two order statistics around each quantile position. Output: group
+    columns + ``q_<i>`` per requested quantile. (``key_col`` is accepted for
+    API symmetry; ties need no key here.)
     """
     group_cols = list(group_cols)
-    v = df.select(*group_cols, F.col(value_col).alias("_v"),
-                  *( [F.col(key_col).alias("_k")] if key_col else [])).filter(F.col("_v").isNotNull())
-    order = ["_v"] + (["_k"] if key_col else [])
-    pos = indexed(v, order, group_cols)
-    n = v.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n"))
+    v = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")) \
+        .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counts = v.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    pos = indexed(counts, ["_v"], group_cols, idx_col="_i")
+    # Cumulative counts over distinct values: [start, end) positions of each value.
+    cum = cumulative_counts(pos, group_cols)
+    n = counts.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
     wanted = []
     for i, q in enumerate(qs):
         p = (F.col("_n") - 1).cast("double") * F.lit(float(q))
-        wanted.append(F.struct(F.lit(i).alias("qi"), p.alias("p"),
-                               F.floor(p).alias("lo"), F.ceil(p).alias("hi")))
+        wanted.append(F.struct(F.lit(i).alias("qi"), p.alias("p"), F.floor(p).alias("lo"), F.ceil(p).alias("hi")))
     targets = n.select(*group_cols, F.inline(F.array(*wanted)))
-    sides = targets.select(*group_cols, "qi", "p", "lo", F.col("lo").alias("_idx"), F.lit("lo").alias("side")) \
-        .unionByName(targets.select(*group_cols, "qi", "p", "lo", F.col("hi").alias("_idx"), F.lit("hi").alias("side")))
-    hit = pos.join(sides, group_cols + ["_idx"]) if group_cols else pos.join(F.broadcast(sides), ["_idx"])
+    sides = targets.select(*group_cols, "qi", "p", "lo", F.col("lo").alias("_t"), F.lit("lo").alias("side")) \
+        .unionByName(targets.select(*group_cols, "qi", "p", "lo", F.col("hi").alias("_t"), F.lit("hi").alias("side")))
+    # Range match (start <= t < end) as an equi-join on the group plus a filter;
+    # sides has 2 rows per quantile and group, so it is tiny.
+    hit = cum.join(sides, group_cols, "inner") if group_cols else cum.crossJoin(F.broadcast(sides))
+    hit = hit.filter((F.col("_start") <= F.col("_t")) & (F.col("_t") < F.col("_end")))
     per_q = hit.groupBy(*group_cols, "qi", "p", "lo").agg(
         F.max(F.when(F.col("side") == "lo", F.col("_v"))).alias("vlo"),
         F.max(F.when(F.col("side") == "hi", F.col("_v"))).alias("vhi"))
@@ -53,6 +60,24 @@ def exact_quantiles(df: DataFrame, value_col: str, qs: list[float], group_cols:
         .toDF(*group_cols, *[f"q_{i}" for i in range(len(qs))])
 
 
+def cumulative_counts(pos: DataFrame, group_cols: list[str]) -> DataFrame:
+    """[start, end) row positions of each distinct value from its index and count.
+
+    Uses the same bucketed scheme as ``indexed``: a running sum inside each
+    (group, bucket) plus the totals of earlier buckets.
+    """
+    from furrow.operators.ordering import with_buckets, default_buckets
+    b = with_buckets(pos, "_i", default_buckets(pos), out="_cb")
+    w = Window.partitionBy(*group_cols, "_cb").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    local = b.withColumn("_run", F.sum("_c").over(w))
+    tot = b.groupBy(*group_cols, "_cb").agg(F.sum("_c").alias("_tot"))
+    wb = Window.partitionBy(*group_cols).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.withColumn("_off", F.coalesce(F.sum("_tot").over(wb), F.lit(0))).drop("_tot")
+    j = local.join(off, group_cols + ["_cb"])
+    return j.select(*group_cols, "_v", (F.col("_off") + F.col("_run") - F.col("_c")).alias("_start"),
+                    (F.col("_off") + F.col("_run")).alias("_end"))
+
+
 def trim_upper_quantile(df: DataFrame, col: str, q: float = 0.99, key_col: str | None = None) -> DataFrame:
     """Keep rows with ``col <= quantile(col, q)`` (exact, interpolated)."""
     thr = exact_quantiles(df, col, [q], key_col=key_col).select(F.col("q_0").alias("_thr"))

@@ -1,44 +1,79 @@
 """Positions in a sorted order, per group, without a single-task window.
 
 ``indexed`` gives each row its 0-based position inside its group in the order
-of ``order_cols``. It range-partitions on (group, order) so a hot group is
-spread over many tasks, reads the in-partition position off
-``monotonically_increasing_id`` (no extra shuffle), and adds the count of the
-group's rows in earlier partitions, taken from a small (partition, group)
-aggregate. Order columns should make the order total (end with a unique key).
+of ``order_cols``:
+
+1. Approximate cut points of the first order column (``percentile_approx``, a
+   one-row aggregate) split the key range into ``n_buckets`` ordered buckets.
+   A row's bucket is found by a balanced binary search over the cut array,
+   built as nested ``CASE WHEN`` (native, codegen friendly). Buckets are a
+   function of the data only, so recomputation after a lost task or a
+   different AQE plan gives identical positions.
+2. ``row_number`` within (group, bucket): a hot group is spread over
+   ``n_buckets`` tasks instead of one.
+3. The count of the group's rows in earlier buckets comes from a small
+   (group, bucket) aggregate.
+
+Order columns should make the order total (end with a unique key). Rows
+with equal first order value share a bucket; when that value is hot, order
+by a spread-out column first (a hash) or pre-aggregate (as the quantile
+operator does). A non-numeric first order column uses one bucket per group.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-_LOW_BITS = (1 << 33) - 1
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def _bucket_expr(x: Column, cuts: Column, lo: int, hi: int) -> Column:
+    """Number of cut points strictly below x, for cuts[lo:hi] (binary search)."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    # cuts are ascending: if cuts[mid] < x, the answer is > mid
+    return F.when(F.element_at(cuts, mid + 1) < x, _bucket_expr(x, cuts, mid + 1, hi)) \
+        .otherwise(_bucket_expr(x, cuts, lo, mid))
+
+
+def default_buckets(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def with_buckets(df: DataFrame, first: str, n_buckets: int, out: str = "_b") -> DataFrame:
+    dtype = df.schema[first].dataType
+    if n_buckets <= 1 or not isinstance(dtype, _NUMERIC):
+        return df.withColumn(out, F.lit(0))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    cuts = df.agg(F.array_sort(F.array_distinct(
+        F.percentile_approx(F.col(first).cast("double"), probs, 10000))).alias("_cuts"))
+    # One row holding at most n_buckets - 1 numbers: broadcasting it is always safe.
+    j = df.crossJoin(F.broadcast(cuts))
+    n = n_buckets - 1
+    b = _bucket_expr(F.col(first).cast("double"), F.col("_cuts"), 0, n)
+    return j.withColumn(out, F.least(b, F.size("_cuts"))).drop("_cuts")
+
+
 def indexed(df: DataFrame, order_cols: list, group_cols: list[str] | tuple = (),
-            idx_col: str = "_idx", num_partitions: int | None = None) -> DataFrame:
+            idx_col: str = "_idx", n_buckets: int | None = None) -> DataFrame:
     group_cols = list(group_cols)
-    keys = _cols(group_cols) + _cols(order_cols)
-    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
-              else df.repartitionByRange(*keys))
-    ranged = ranged.sortWithinPartitions(*keys)
-    mid = F.monotonically_increasing_id()
-    pos = ranged.withColumn("_mid", mid) \
-        .withColumn("_pid", F.shiftright(F.col("_mid"), 33)) \
-        .withColumn("_local", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
-    stats = pos.groupBy(*(group_cols + ["_pid"])).agg(
-        F.min("_local").alias("_start"), F.count(F.lit(1)).alias("_cnt"))
-    w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0))).drop("_cnt")
-    out = pos.join(offsets, group_cols + ["_pid"], "inner") if group_cols else \
-        pos.join(F.broadcast(offsets), ["_pid"], "inner")
-    out = out.withColumn(idx_col, F.col("_before") + F.col("_local") - F.col("_start"))
-    return out.drop("_mid", "_pid", "_local", "_start", "_before")
+    first = order_cols[0] if isinstance(order_cols[0], str) else None
+    n_buckets = n_buckets or default_buckets(df)
+    d = with_buckets(df, first, n_buckets) if first else df.withColumn("_b", F.lit(0))
+    w = Window.partitionBy(*group_cols, "_b").orderBy(*_cols(order_cols))
+    ranked = d.withColumn("_rn", F.row_number().over(w) - 1)
+    stats = d.groupBy(*group_cols, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    wb = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stats.withColumn("_before", F.coalesce(F.sum("_cnt").over(wb), F.lit(0))).drop("_cnt")
+    out = ranked.join(offsets, group_cols + ["_b"], "inner")
+    return out.withColumn(idx_col, (F.col("_before") + F.col("_rn")).cast("long")).drop("_b", "_rn", "_before")
 
 
 def group_sizes(df: DataFrame, group_cols: list[str], name: str = "_n") -> DataFrame:
