@@ -130,11 +130,13 @@ def fit_rff_svm(train: DataFrame, numeric, categorical, label, c: float = 10.0,
     t = prep.transform(train)
     d = len(numeric) + len(categorical)
     gamma = _gamma_scale(t, d)
-    z = rff_transform(t, d, n_components, gamma)
+    # Cached: every one-vs-rest fit and every solver iteration re-reads it.
+    z = rff_transform(t, d, n_components, gamma).select("label_idx", "rff").cache()
     svc = LinearSVC(featuresCol="rff", labelCol="label_idx", regParam=1.0 / (c * 1.0), maxIter=max_iter)
-    svm = OneVsRest(classifier=svc, featuresCol="rff", labelCol="label_idx", parallelism=4).fit(z)
+    svm = OneVsRest(classifier=svc, featuresCol="rff", labelCol="label_idx", parallelism=8).fit(z)
     prob = LogisticRegression(featuresCol="rff", labelCol="label_idx", family="multinomial", maxIter=max_iter,
                               regParam=1.0 / (c * 100.0)).fit(z)
+    z.unpersist()
     return prep, gamma, d, n_components, svm, prob
 
 

@@ -24,6 +24,9 @@ FERT_CATEGORICAL = ["Soil", "Crop"]
 # Boosting needs one sequential tree per class per iteration; the registered
 # checks run a short schedule (the estimator defaults keep the full one).
 CHECK_GBT_ITERS = 10
+# Likewise the one-vs-rest linear SVMs (22 classes) run a short solver schedule.
+CHECK_SVM_ITERS = 10
+CHECK_RFF_COMPONENTS = 50
 
 
 def crop_split(spark, sf):
@@ -84,7 +87,8 @@ def fit_gbt_multiclass(spark, sf):
 @register("fit_rff_svm", None, ops="J9 J10")
 def fit_rff_svm(spark, sf):
     tr, te = crop_split(spark, sf)
-    fitted = models.fit_rff_svm(tr, fx.CROP_FEATURES, [], "Crop")
+    fitted = models.fit_rff_svm(tr, fx.CROP_FEATURES, [], "Crop", n_components=CHECK_RFF_COMPONENTS,
+                                max_iter=CHECK_SVM_ITERS)
     p = models.rff_predictions(fitted, te)
     return _acc_row(spark, "crop", "rff_svm", p)
 
