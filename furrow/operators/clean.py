@@ -36,6 +36,12 @@ def exact_quantiles(df: DataFrame, value_col: str, qs: list[float], group_cols:
     v = df.select(*group_cols, F.col(value_col).cast("double").alias("_v")) \
         .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
     counts = v.groupBy(*group_cols, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # Every later step reads this table several times; a reliable checkpoint
+    # (in the session's shared checkpoint folder) computes the upstream plan
+    # once and cuts the lineage.
+    from furrow.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    counts = counts.checkpoint(eager=True)
     pos = indexed(counts, ["_v"], group_cols, idx_col="_i")
     # Cumulative counts over distinct values: [start, end) positions of each value.
     cum = cumulative_counts(pos, group_cols)
@@ -80,6 +86,9 @@ def cumulative_counts(pos: DataFrame, group_cols: list[str]) -> DataFrame:
 
 def trim_upper_quantile(df: DataFrame, col: str, q: float = 0.99, key_col: str | None = None) -> DataFrame:
     """Keep rows with ``col <= quantile(col, q)`` (exact, interpolated)."""
+    from furrow.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)  # read twice (threshold and filter): compute the input once
     thr = exact_quantiles(df, col, [q], key_col=key_col).select(F.col("q_0").alias("_thr"))
     # A global quantile is exactly one row: broadcasting it is always safe.
     return df.crossJoin(F.broadcast(thr)).filter(F.col(col) <= F.col("_thr")).drop("_thr")
