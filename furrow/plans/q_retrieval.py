@@ -133,3 +133,72 @@ def route_message(spark, sf):
     r, _ = routed(spark, sf)
     return r.select("src", "msg_id", "turn", "intent", "mode",
                     F.when(F.col("intent") == "general", F.col("best_distance")).alias("best_distance"))
+
+
+# ---- encoder and approximate join ---------------------------------------------------
+
+@register("embed_text", None, ops="K1")
+def embed_text(spark, sf):
+    """Documents -> unit-length TF-IDF vectors (tokenizer, 2^12 hashed terms, IDF, L2 norm) on Spark ML."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+    docs = fx.corpus(spark, sf)
+    pipe = Pipeline(stages=[
+        RegexTokenizer(inputCol="text", outputCol="tok", pattern=r"[^\p{L}\p{N}]+", toLowercase=True),
+        HashingTF(inputCol="tok", outputCol="tf", numFeatures=1 << 12),
+        IDF(inputCol="tf", outputCol="tfidf"),
+        Normalizer(inputCol="tfidf", outputCol="vec", p=2.0)])
+    out = pipe.fit(docs).transform(docs)
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array("vec")
+    return out.select("id", F.size(F.filter(arr, lambda v: v != 0)).alias("n_terms"),
+                      F.round(F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, v: a + v * v)), 9).alias("norm"))
+
+
+@register("knn_lsh", None, ops="K3")
+def knn_lsh(spark, sf):
+    """Approximate neighbours by bucketed random projections (an equi-join on hash buckets),
+    with recall of the exact nearest neighbour measured against the exact join."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+    k = fx.kb(spark, sf).select("id", array_to_vector(as_double(F.col("embedding"))).alias("v"))
+    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=4, seed=7).fit(k)
+    radius = float(KB_THRESHOLD) ** 0.5
+    pairs = lsh.approxSimilarityJoin(k, k, radius, distCol="d").filter(F.col("datasetA.id") != F.col("datasetB.id"))
+    approx = pairs.groupBy(F.col("datasetA.id").alias("qid")).agg(
+        F.min_by(F.col("datasetB.id"), F.struct(F.col("d"), F.col("datasetB.id"))).alias("approx_did"))
+    exact = kb_hits(spark, sf, k=1).filter(F.col("distance") < KB_THRESHOLD).select("qid", F.col("did").alias("exact_did"))
+    j = exact.join(approx, "qid", "left")
+    return j.agg(F.count(F.lit(1)).alias("n_queries_with_neighbour"),
+                 F.round(F.avg((F.col("approx_did") == F.col("exact_did")).cast("double")), 4).alias("recall_at_1"))
+
+
+@register("build_prompt", None, ops="C18 K7 H7")
+def build_prompt(spark, sf):
+    """Prompt per routed message: model result / retrieved documents / general, with chat history."""
+    r, hits = routed(spark, sf)
+    ctx = retrieval.context(hits, ROUTE_THRESHOLD)
+    hist = chat.history_text(fx.chat(spark, sf)).select(
+        F.lit("chat").alias("src"), F.col("conv_id").alias("msg_id"), F.col("turn").cast("long").alias("turn"), "history")
+    p = tx.extract_params(F.col("text"))
+    j = r.join(ctx, "qid", "left").join(hist, ["src", "msg_id", "turn"], "left") \
+        .withColumn("history", F.coalesce("history", F.lit(""))).withColumn("p", p)
+    dec = lambda c: F.coalesce(c.cast("decimal(18,2)").cast("string"), F.lit("?"))
+    model_ctx = F.concat(F.lit("[MODEL INPUT - "), F.col("intent"), F.lit("]\nN="), dec(F.col("p.N")), F.lit(", P="),
+                         dec(F.col("p.P")), F.lit(", K="), dec(F.col("p.K")), F.lit(", temperature="),
+                         dec(F.col("p.temperature")), F.lit(", humidity="), dec(F.col("p.humidity")),
+                         F.lit(", pH="), dec(F.col("p.ph")), F.lit(", rainfall="), dec(F.col("p.rainfall")))
+    prompt = (F.when(F.col("mode") == "ml_model", F.concat(
+        F.lit(SYSTEM_PROMPT), model_ctx, F.lit("\n\nConversation so far:\n"), F.col("history"),
+        F.lit("Using the model input above, answer the farmer:\n"), F.col("text")))
+        .when(F.col("mode") == "rag", F.concat(
+            F.lit(SYSTEM_PROMPT), F.lit("Retrieved documents:\n"), F.col("context"),
+            F.lit("\nEnd of documents.\n\nAnswer from the documents first, then general knowledge.\n"
+                  "Farmer's question: "), F.col("text")))
+        .otherwise(F.concat(F.lit(SYSTEM_PROMPT), F.lit("Conversation so far:\n"), F.col("history"),
+                            F.lit("\nFarmer: "), F.col("text"))))
+    return j.select("src", "msg_id", "turn", "mode", prompt.alias("prompt"))
+
+
+# Our own wording for the fixed system preamble.
+SYSTEM_PROMPT = "You are a practical farming advisor. Answer clearly and briefly.\n\n"
