@@ -45,3 +45,18 @@ def test_ridge_classifier_predicts_valid_classes(spark, sf):
     m = models.fit_ridge_classifier(tr, fx.CROP_FEATURES, [], "Crop")
     preds = models.ridge_class_predictions(m, te, 22).select("prediction").distinct().collect()
     assert all(0 <= r.prediction <= 21 and r.prediction == int(r.prediction) for r in preds)
+
+
+def test_shapley_is_additive_and_matches_forest(spark, sf):
+    from furrow.operators import explain
+    tr, te = q_models.crop_split(spark, sf)
+    m = models.fit_pipeline(tr, fx.CROP_FEATURES, [], "Crop",
+                            models.classifier("random_forest", 7, num_trees=4, max_depth=5))
+    long = explain.explain_rows(spark, m, te, "obs_id", fx.CROP_FEATURES)
+    per = long.groupBy("row_id").agg(F.sum("contribution").alias("s"), F.first("base").alias("b"),
+                                     F.first("prob").alias("p"), F.first("pred_class").alias("c"))
+    probs = m.transform(te).select(F.col("obs_id").alias("row_id"), vector_to_array("probability").alias("pv"))
+    j = per.join(probs, "row_id").toPandas()
+    assert len(j) == te.count()
+    assert np.allclose(j["b"] + j["s"], j["p"], atol=1e-9)
+    assert np.allclose(j["p"], [pv[c] for pv, c in zip(j["pv"], j["c"])], atol=1e-9)
