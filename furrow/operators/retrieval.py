@@ -48,7 +48,7 @@ def assign_cells(docs: DataFrame, pivots: DataFrame) -> DataFrame:
 
 
 def knn(queries: DataFrame, docs: DataFrame, k: int = 3, exclude_self: bool = False,
-        n_pivots: int = 32, seed: int = 7) -> DataFrame:
+        n_pivots: int = 32, seed: int = 7, strategy: str = "blocks", block_size: int = 256) -> DataFrame:
     """Exact top-k by squared L2.
 
     queries: (qid, qvec ARRAY<DOUBLE>); docs: (did, dvec ARRAY<DOUBLE>, ...).
@@ -79,6 +79,8 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = 3, exclude_self: bool = Fa
     cand = q.select("qid", "qvec", F.explode(F.filter(F.col("_b"), lambda c: c["lb"] <= F.col("_ubk") + EPS))
                     .alias("_c")).select("qid", "qvec", F.col("_c.cell").alias("cell"))
 
+    if strategy == "blocks":
+        return _block_pairs(cand, cells_docs.drop("_r"), cells, k, exclude_self, block_size, seed)
     pairs = cand.join(cells_docs.drop("_r"), "cell")
     if exclude_self:
         pairs = pairs.filter(F.col("qid") != F.col("did"))
@@ -115,3 +117,61 @@ def context(hits: DataFrame, threshold: float) -> DataFrame:
                      F.coalesce(F.col("topic"), F.col("did").cast("string")), F.lit("]\n"), F.col("text"))
     g = s.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("_l"))
     return g.select("qid", F.array_join(F.transform("_l", lambda x: x["b"]), "\n\n").alias("context"))
+
+
+def _block_pairs(cand: DataFrame, cells_docs: DataFrame, cells: DataFrame, k: int, exclude_self: bool,
+                 block_size: int, seed: int) -> DataFrame:
+    """Distances between candidate queries and the documents of their cells, block by block.
+
+    Documents of a cell are hashed into sub-blocks of about ``block_size``;
+    the candidate queries of a cell into chunks of about ``block_size``. Each
+    (query chunk, document block) pair meets in one equi-join row on the cell
+    id and numpy computes its distance matrix (dimensions summed left to
+    right, as the SQL form does), emitting only each query's k best of the
+    block. Blocks are bounded, so no task holds a whole hot cell.
+    """
+    import numpy as np
+    import pandas as pd
+
+    extra = [c for c in cells_docs.columns if c not in ("did", "dvec", "cell")]
+    n_sub = cells.select("cell", F.greatest(F.ceil(F.col("n") / block_size), F.lit(1)).alias("_ns"))
+    d = cells_docs.join(F.broadcast(n_sub), "cell")  # one row per cell (<= n_pivots): bounded
+    d = d.withColumn("_sub", F.pmod(h32("blk", seed, F.col("did")), F.col("_ns")))
+    dblocks = d.groupBy("cell", "_sub").agg(F.collect_list(F.struct("did", "dvec")).alias("_docs"))
+    qn = cand.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_size), F.lit(1)).alias("_nq"))
+    q = cand.join(qn, "cell").withColumn("_qs", F.pmod(h32("qblk", seed, F.col("qid")), F.col("_nq")))
+    qblocks = q.groupBy("cell", "_qs").agg(F.collect_list(F.struct("qid", "qvec")).alias("_qs_rows"))
+    pairs = qblocks.join(dblocks, "cell").select("_qs_rows", "_docs")
+    qid_type = cand.schema["qid"].dataType.simpleString()
+    did_type = cells_docs.schema["did"].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for qs, ds in zip(pdf["_qs_rows"], pdf["_docs"]):
+                qids = np.array([r["qid"] for r in qs])
+                qv = np.stack([np.asarray(r["qvec"], dtype=float) for r in qs])
+                dids = np.array([r["did"] for r in ds])
+                dv = np.stack([np.asarray(r["dvec"], dtype=float) for r in ds])
+                acc = np.zeros((len(qids), len(dids)))
+                for j in range(qv.shape[1]):
+                    diff = qv[:, j][:, None] - dv[:, j][None, :]
+                    acc = acc + diff * diff
+                if exclude_self:
+                    acc[qids[:, None] == dids[None, :]] = np.inf
+                kk = min(k, len(dids))
+                # Per query: k smallest by (distance, did), all rows of the block at once.
+                order = np.lexsort((np.broadcast_to(dids, acc.shape), acc), axis=-1)[:, :kk]
+                dist = np.take_along_axis(acc, order, axis=1)
+                keep = np.isfinite(dist)
+                out.append(pd.DataFrame({"qid": np.repeat(qids, kk)[keep.reshape(-1)],
+                                         "did": dids[order][keep], "distance": dist[keep]}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    best = pairs.mapInPandas(run, f"qid {qid_type}, did {did_type}, distance double")
+    w = Window.partitionBy("qid").orderBy("distance", "did")
+    top = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    if extra:
+        top = top.join(cells_docs.select("did", *extra), "did", "left")
+    return top
