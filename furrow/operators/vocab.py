@@ -18,6 +18,9 @@ def vocab_arrays(df: DataFrame, columns: dict[str, str], max_size: int = MAX_VOC
     out = None
     for name, col in columns.items():
         d = df.select(F.col(col).alias("v")).filter(F.col("v").isNotNull()).distinct()
+        # Collect at most max_size + 1 values, so an oversized vocabulary fails
+        # without ever being gathered whole into one task.
+        d = d.orderBy("v").limit(max_size + 1)
         a = d.agg(F.array_sort(F.collect_list("v")).alias(name))
         a = a.select(F.when(F.size(name) <= max_size, F.col(name))
                      .otherwise(F.raise_error(F.lit(f"vocabulary {name} exceeds {max_size} values"))).alias(name))
