@@ -98,3 +98,18 @@ def test_chat_history_edit_clear(spark):
     assert [(r.conv_id, r.content) for r in e] == [(1, "new"), (2, "x")]
     assert chat.clear(h, h.filter("conv_id = 2")).count() == 2
     assert {r.conv_id: r.turns for r in chat.turn_counts(h).collect()} == {1: 1, 2: 0}
+
+
+def test_regression_metrics_constant_target(spark):
+    df = spark.createDataFrame([("g", 2.0, 1.0), ("g", 2.0, 3.0)], "grp string, y double, yhat double")
+    r = evaluate.regression_metrics(df, ["grp"]).first()
+    assert r["R2"] is None and r["RMSE"] == 1.0 and r["MAE"] == 1.0
+
+
+def test_vocab_guard(spark):
+    import pytest
+    from furrow.operators import vocab
+    df = spark.createDataFrame([(f"v{i}",) for i in range(10)], "c string")
+    assert vocab.vocab_arrays(df, {"a": "c"}, max_size=10).first()["a"][0] == "v0"
+    with pytest.raises(Exception):
+        vocab.vocab_arrays(df, {"a": "c"}, max_size=5).collect()
