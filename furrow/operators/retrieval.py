@@ -4,10 +4,10 @@ Distance is squared L2 (the store's default; for unit vectors 2 - 2 cos).
 
 ``knn`` is exact and avoids a queries x documents cross join:
 
-1. ``n_pivots`` documents (lowest seeded hash) become pivots: a bounded top-k,
-   collected into one small row and broadcast.
-2. Every document is assigned to its nearest pivot (a cell) by array
-   expressions against that row, a map-side step. Per cell: radius and count.
+1. ``n_pivots`` documents (lowest seeded hash) become pivots: a bounded top-k
+   (n_pivots x dim numbers, shipped to the tasks like a model parameter).
+2. Every document is assigned to its nearest pivot (a cell) by a vectorised
+   map-side step. Per cell: radius and count.
 3. For each query, the triangle inequality gives, per cell, a lower bound
    ``d(q,p) - r`` and an upper bound ``d(q,p) + r`` on the distance of any
    document in it. Walking cells by upper bound until ``k`` documents are
@@ -39,10 +39,36 @@ def _pivot_row(docs: DataFrame, n_pivots: int, seed: int) -> DataFrame:
     return piv.agg(F.array_sort(F.collect_list(F.struct("h", "did", F.col("dvec").alias("pvec")))).alias("pivots"))
 
 
-def assign_cells(docs: DataFrame, pivots: DataFrame) -> DataFrame:
-    d = barrier(docs).crossJoin(F.broadcast(pivots))
-    dp = F.transform(F.col("pivots"), lambda p: sq_l2(F.col("dvec"), p["pvec"]))
-    d = barrier(d.select("did", "dvec", *[c for c in docs.columns if c not in ("did", "dvec")], dp.alias("_dp")))
+def _pivot_matrix(pivots: DataFrame):
+    """The pivot vectors as a numpy matrix: at most n_pivots x dim numbers (a model-sized parameter)."""
+    import numpy as np
+    row = pivots.first()
+    return np.array([np.asarray(p["pvec"], dtype=float) for p in row["pivots"]])
+
+
+def _with_pivot_distances(df: DataFrame, vec: str, pmat, out: str, squared: bool) -> DataFrame:
+    """Append the distances of ``vec`` to every pivot (numpy, vectorised per Arrow batch)."""
+    import numpy as np
+    schema = df.schema.simpleString()[len("struct<"):-1] + f",{out}:array<double>"
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            x = np.stack([np.asarray(v, dtype=float) for v in pdf[vec]])
+            acc = np.zeros((len(x), len(pmat)))
+            for j in range(x.shape[1]):
+                diff = x[:, j][:, None] - pmat[:, j][None, :]
+                acc = acc + diff * diff
+            pdf[out] = list(acc if squared else np.sqrt(acc))
+            yield pdf
+
+    return df.mapInPandas(run, schema)
+
+
+def assign_cells(docs: DataFrame, pivots: DataFrame, pmat=None) -> DataFrame:
+    pmat = _pivot_matrix(pivots) if pmat is None else pmat
+    d = barrier(_with_pivot_distances(docs, "dvec", pmat, "_dp", squared=True))
     return d.select("*", (F.array_position("_dp", F.array_min("_dp")) - 1).cast("int").alias("cell"),
                     F.sqrt(F.array_min("_dp")).alias("_r")).drop("_dp")
 
@@ -56,16 +82,16 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = 3, exclude_self: bool = Fa
     a document never matches the query of the same id.
     """
     pivots = _pivot_row(docs, n_pivots, seed)
-    cells_docs = assign_cells(docs, pivots)
+    pmat = _pivot_matrix(pivots)
+    cells_docs = assign_cells(docs, pivots, pmat)
     cells = cells_docs.groupBy("cell").agg(F.max("_r").alias("radius"), F.count(F.lit(1)).alias("n"))
     # At most n_pivots rows: safe to gather into one broadcast row.
     cell_row = cells.agg(F.collect_list(F.struct("cell", "radius", "n")).alias("cells"))
     need = k + 1 if exclude_self else k
 
-    q = barrier(queries.filter(F.col("qvec").isNotNull())) \
-        .crossJoin(F.broadcast(pivots)).crossJoin(F.broadcast(cell_row))
-    dq = F.transform(F.col("pivots"), lambda p: F.sqrt(sq_l2(F.col("qvec"), p["pvec"])))
-    q = barrier(q.select("qid", "qvec", dq.alias("_dq"), "cells"))
+    q = _with_pivot_distances(queries.filter(F.col("qvec").isNotNull()).select("qid", "qvec"), "qvec", pmat,
+                              "_dq", squared=False)
+    q = barrier(q.crossJoin(F.broadcast(cell_row)).select("qid", "qvec", "_dq", "cells"))
     bounds = F.transform(F.col("cells"), lambda c: F.struct(
         (F.element_at(F.col("_dq"), c["cell"] + 1) + c["radius"]).alias("ub"),
         F.greatest(F.element_at(F.col("_dq"), c["cell"] + 1) - c["radius"], F.lit(0.0)).alias("lb"),
