@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, language, quality, substring
+from furrow.llm import chat, language, lm, pieces, quality, sharding, substring
 from furrow.sources.tables import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,38 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language.identify(docs)
     return out.select("doc_id", language.held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", "n_spans")
+
+
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+SHARD_SLOTS = 6553  # a prime of about a hundred slots per shard
+OP5_SQL = f"""
+WITH t AS (SELECT {sharding.lookup_table(SHARDS, SHARD_SLOTS)}::INTEGER[] AS owner),
+d AS (SELECT doc_id, (('0x' || substring(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT % {SHARD_SLOTS})::INTEGER AS slot
+      FROM documents)
+SELECT doc_id, slot, 'shard-' || lpad(owner[slot + 1]::VARCHAR, 3, '0') AS shard FROM d, t
+"""
+
+
+@query("op5_sharding", OP5_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(docs, SHARDS, "doc_id", SHARD_SLOTS).select("doc_id", "slot", "shard")
+
+
+@query("op6_lm_score")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, counts = lm.train(docs.where(F.col("doc_id").isNotNull() & ~language.held_out(F.col("doc_id"), 7, 2)))
+    out = lm.score(docs, model, counts)
+    return out.select("doc_id", language.held_out(F.col("doc_id"), 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
+
+
+@query("op7_piece_sampling")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = pieces.load(pieces.MODEL_PATH)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = pieces.decode(pieces.encode(docs, v, seed=7), v)
+    return back.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"),
+                       F.xxhash64("pieces").alias("pieces_hash"), F.sha2("decoded", 256).alias("decoded_sha256"),
+                       F.equal_null("decoded", "text").alias("lossless"))
