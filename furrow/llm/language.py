@@ -216,36 +216,51 @@ def label_words(w: Words, model: dict, penalty: float = PENALTY) -> tuple[np.nda
     return label, script > 0
 
 
-def _predict(model):
+def predict_chunk(col: pa.Array, m: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, number of one-language spans) of every text of a chunk."""
+    langs = m["langs"]
+    w = Words(col, lower=True)
+    label, lettered = label_words(w, m)
+    pred, score, spans = ["und"] * w.n_docs, np.zeros(w.n_docs), np.zeros(w.n_docs, np.int64)
+    if langs and lettered.any():
+        votes = np.bincount(w.doc[lettered] * len(langs) + label[lettered],
+                            minlength=w.n_docs * len(langs)).reshape(w.n_docs, len(langs))
+        sure = votes.sum(1) > 0
+        top = votes.argmax(1)
+        score[sure] = votes[np.arange(w.n_docs), top][sure] / votes.sum(1)[sure]
+        pred = [langs[t] if s else "und" for t, s in zip(top, sure, strict=True)]
+        turn = np.ones(len(label), dtype=bool)
+        turn[1:] = (label[1:] != label[:-1]) | (w.doc[1:] != w.doc[:-1])
+        spans = np.bincount(w.doc[turn], minlength=w.n_docs)
+    return pred, score, spans
+
+
+def predict(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, lang_pred, score, n_spans) of every row; n_spans counts the runs of words of one language."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        langs = m["langs"]
         for batch in batches:
             for c in chunks(batch, "text", 2 << 20):
-                w = Words(c.column("text"), lower=True)
-                label, lettered = label_words(w, m)
-                pred, score, spans = ["und"] * w.n_docs, np.zeros(w.n_docs), np.zeros(w.n_docs, np.int64)
-                if langs and lettered.any():
-                    votes = np.bincount(w.doc[lettered] * len(langs) + label[lettered],
-                                        minlength=w.n_docs * len(langs)).reshape(w.n_docs, len(langs))
-                    sure = votes.sum(1) > 0
-                    top = votes.argmax(1)
-                    score[sure] = votes[np.arange(w.n_docs), top][sure] / votes.sum(1)[sure]
-                    pred = [langs[t] if s else "und" for t, s in zip(top, sure, strict=True)]
-                    turn = np.ones(len(label), dtype=bool)
-                    turn[1:] = (label[1:] != label[:-1]) | (w.doc[1:] != w.doc[:-1])
-                    spans = np.bincount(w.doc[turn], minlength=w.n_docs)
+                pred, score, spans = predict_chunk(c.column("text"), shared.value)
                 yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(pred, pa.string()), pa.array(score),
-                                                  pa.array(spans, pa.int64())],
-                                                 names=["doc_id", "lang_pred", "score", "n_spans"])
-    return run
+                                                  pa.array(spans, pa.int64())], names=["doc_id", "lang_pred", "score", "n_spans"])
 
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+            .mapInArrow(run, "doc_id long, lang_pred string, score double, n_spans long"))
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, lang_pred, score, n_spans) of every row; n_spans counts the runs of words of one language."""
+
+def keep_identified(docs: DataFrame, model: dict, min_score: float) -> DataFrame:
+    """The rows whose language is known and holds at least `min_score` of the words, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-            .mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, n_spans long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in chunks(batch, "text", 2 << 20):
+                pred, score, _ = predict_chunk(c.column("text"), shared.value)
+                yield c.filter(pa.array((np.array(pred) != "und") & (score >= min_score)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id, mod: int, rest: int):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, html, language, lm, nearcopies, pieces, quality, sharding, substring
+from furrow.llm import chat, decontam, html, language, lm, nearcopies, pieces, quality, sharding, substring
 from furrow.sources.tables import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -175,3 +175,8 @@ FROM comp LEFT JOIN n USING (doc_id)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = nearcopies.near_copies(table(spark, sf_dir, "documents"), shingle=4, percent=80)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query("op4_decontaminate")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

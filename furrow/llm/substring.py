@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from furrow.llm.words import (
     Words, as_long, chunks, distinct_per_owner, lists, owner_key, window_hashes, window_inside,
@@ -102,10 +103,7 @@ def _windows(length: int, half: int):
     return run
 
 
-_KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
-
-
-def _strip(length: int):
+def _strip(length: int, carried: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch, "text"):
@@ -135,8 +133,8 @@ def _strip(length: int):
                     else:
                         kept.append(b" ".join(compress(w.text(i), ~gone[w.word_offs[i]:w.word_offs[i + 1]])))
                 yield pa.RecordBatch.from_arrays(
-                    [c.column("doc_id"), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()),
-                     pa.array(kept, pa.binary()).cast(pa.string())], schema=_KEPT)
+                    [*(c.column(x) for x in carried), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()),
+                     pa.array(kept, pa.binary()).cast(pa.string())], names=[*carried, "n_words", "n_removed", "kept"])
     return run
 
 
@@ -144,15 +142,24 @@ def _base(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
+def _key():
+    return F.unhex(F.md5("text"))
+
+
+def remove_repeats(docs: DataFrame, min_words: int = 50, carry: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every text without the words covered by a window of `min_words` words that also
-    starts in a document with a smaller doc_id. `kept` joins the kept words by one space."""
+    starts in a document with a smaller doc_id. `kept` joins the kept words by one space. With `carry` a struct column `row`
+    holds the input row."""
     half = (min_words + 1) // 2
-    base = _base(docs).withColumn("key", F.unhex(F.md5("text")))
+    base = _base(docs)
+    if carry:
+        base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
+                           F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     named = base.where("doc_id is not null")
+    texts = named.select("doc_id", "text")
 
     # Copies of a whole text: all but the smallest doc_id.
-    keyed = named.select("doc_id", "key")
+    keyed = texts.select("doc_id", _key().alias("key"))
     first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
     copies = (keyed.join(first, "key", "left")
               .groupBy("doc_id").agg(F.collect_set(F.when(F.col("first") < F.col("doc_id"), F.col("key"))).alias("copies"),
@@ -160,24 +167,28 @@ def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
               .where(F.size("copies") > 0))
 
     # Half length: anchors of more than one document.
-    anchors = named.select("doc_id", "text").mapInArrow(_anchors(min_words, half), "h long, doc_id long")
+    anchors = texts.mapInArrow(_anchors(min_words, half), "h long, doc_id long")
     shared = (anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
               .where("lo < hi").select("h"))
     alive = (anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_list("h").alias("alive"))
              .join(copies.where("only_copies").select("doc_id"), "doc_id", "left_anti"))
 
     # Full length: extensions of the surviving anchors, and which of them start in an earlier document.
-    windows = (base.join(alive, "doc_id").select("doc_id", "text", "alive")
-               .mapInArrow(_windows(min_words, half), "h long, g int, doc_id long"))
+    windows = texts.join(alive, "doc_id").mapInArrow(_windows(min_words, half), "h long, g int, doc_id long")
     earliest = (windows.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
                 .where("lo < hi").select("h", "g", "lo"))
     repeated = (windows.join(earliest, ["h", "g"]).where("lo < doc_id")
                 .groupBy("doc_id").agg(F.collect_list("h").alias("repeated")))
 
-    return (base.join(repeated, "doc_id", "left").join(copies.select("doc_id", "copies"), "doc_id", "left")
-            .select("doc_id", "text", F.coalesce("repeated", F.array().cast("array<long>")).alias("repeated"),
-                    F.coalesce(F.array_contains("copies", F.col("key")), F.lit(False)).alias("copied"))
-            .mapInArrow(_strip(min_words), "doc_id long, n_words long, n_removed long, kept string"))
+    found = (named.join(repeated, "doc_id", "left").join(copies.select("doc_id", "copies"), "doc_id", "left")
+             .withColumn("repeated", F.coalesce("repeated", F.array().cast("array<long>")))
+             .withColumn("copied", F.coalesce(F.array_contains("copies", _key()), F.lit(False))).drop("copies"))
+    nameless = (base.where("doc_id is null").withColumn("repeated", F.array().cast("array<long>"))
+                .withColumn("copied", F.lit(False)))
+    carried = ["doc_id", "row"] if carry else ["doc_id"]
+    schema = T.StructType([*(base.schema[c] for c in carried), T.StructField("n_words", T.LongType()),
+                           T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
+    return found.unionByName(nameless).mapInArrow(_strip(min_words, carried), schema)
 
 
 _LADDER = pa.schema([("doc_id", pa.int64()), ("rungs", pa.list_(pa.int64()))])
