@@ -64,22 +64,24 @@ def _emit(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
 
-def _ids(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+def _ids(batch: pa.RecordBatch, name: str = "doc_id") -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-_ANCHOR = pa.schema([("h", pa.int64()), ("doc_id", pa.int64())])
 _WINDOW = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("doc_id", pa.int64())])
 
 
-def _anchors(length: int, half: int):
+def _anchors(length: int, half: int, owner_id: str):
+    """(anchor, `owner_id` of its row), distinct per row."""
+    schema = pa.schema([("h", pa.int64()), (owner_id, pa.int64())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch, "text"):
                 w = Words(c.column("text"))
                 values, owner = _anchor_values(w, w.hashes(), length, half)
                 keep = distinct_per_owner(values, owner)
-                yield _emit(_ANCHOR, as_long(values[keep]), _ids(c)[owner[keep]])
+                yield _emit(schema, as_long(values[keep]), _ids(c, owner_id)[owner[keep]])
     return run
 
 
@@ -139,7 +141,9 @@ def _strip(length: int, carried: list[str]):
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # A plain column where possible: an alias would keep Spark from sharing the text exchange between the joins.
+    ident = F.col("doc_id") if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(ident, F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _key():
@@ -166,10 +170,10 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, carry: bool = False) ->
                                      F.min(F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).alias("only_copies"))
               .where(F.size("copies") > 0))
 
-    # Half length: anchors of more than one document.
-    anchors = texts.mapInArrow(_anchors(min_words, half), "h long, doc_id long")
-    shared = (anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-              .where("lo < hi").select("h"))
+    # Half length: anchors of more than one distinct text (copies alone do not count).
+    shared = (texts.select("text", F.xxhash64("text").alias("digest")).mapInArrow(_anchors(min_words, half, "digest"), "h long, digest long")
+              .groupBy("h").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select("h"))
+    anchors = texts.mapInArrow(_anchors(min_words, half, "doc_id"), "h long, doc_id long")
     alive = (anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_list("h").alias("alive"))
              .join(copies.where("only_copies").select("doc_id"), "doc_id", "left_anti"))
 

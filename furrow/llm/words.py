@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
@@ -48,7 +48,7 @@ def powers(n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of an odd base and of its inverse modulo 2**64."""
     have = _POWERS.get(seed)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, CHUNK_BYTES + 1)
         base = (0x9E3779B97F4A7C15 * (2 * seed + 1) | 1) & (2**64 - 1)
         out = []
         for b in (base, pow(base, -1, 2**64)):
