@@ -256,7 +256,8 @@ def near_copies(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFra
     member = spark.read.schema("id long, grp long, blocks int").parquet(grp_path)
 
     def with_sets(of: DataFrame) -> DataFrame:
-        return (base.join(of, base.doc_id == of.id).select("id", "grp", "blocks", "label", "text")
+        # Candidates grow with the corpus, so they are never broadcast: texts are dealt by id at every size.
+        return (base.join(of.hint("merge"), base.doc_id == of.id).select("id", "grp", "blocks", "label", "text")
                 .mapInArrow(_members(shingle), _MEMBER))
 
     # Every block with itself and with the first block.
