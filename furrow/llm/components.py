@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Every round points the larger neighbours of each id to its smallest neighbour and then each id's smaller neighbours to
     the smallest of them; both steps are a partial aggregate and a join on the id, which AQE can split for a hot id. Rounds are
-    checkpointed. Null ends and loops are ignored; an empty table gives an empty result."""
+    checkpointed. Ids grow with the corpus and are never broadcast. Null ends and loops are ignored; an empty table gives an empty result."""
     spark = edges.sparkSession
     ensure_checkpoint_dir(spark)
     e = (edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a is not null and a <> b").distinct())
@@ -28,9 +28,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         state = (now.n, now.x)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(low, "a")
+        linked = large.join(low.hint("merge"), "a")
         e = (linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
              .unionByName(low.select("a", F.col("m").alias("b"))).distinct().checkpoint(eager=True))
     else:
