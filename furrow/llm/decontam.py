@@ -3,12 +3,14 @@
 1. *Passages.* Texts are cut into blocks of ``BLOCK`` words; a passage is two neighbouring blocks, so every run of BLOCK words lies
    within one passage. Benchmark items are cut into parts of at most BLOCK words. Words are lower-cased and stripped of ASCII
    punctuation at both ends. The vocabulary is the benchmark's.
-2. *TF-IDF.* Document frequencies over all blocks of the corpus; words in more than ``STOP_SHARE`` of them get weight zero.
-3. *Randomised SVD.* One pass over all blocks computes ``Y = A'A W`` for a test matrix W (random mixtures of the benchmark's
-   TF-IDF rows plus Gaussian columns); partitions send partial sums of stripes of Y, which are added by stripe. The benchmark's
-   own rows enter with the corpus's total weight. The Nystroem form of Y gives the leading ``RANK`` right singular vectors.
-4. *Search.* Every passage is projected and compared with all parts by cosine; candidates reach ``MIN_COSINE``.
-5. *Verify.* A bit-parallel longest common subsequence of part and passage (parts have at most 64 words, one machine word per
+2. *TF-IDF and randomised SVD* in one pass over all blocks of the corpus. With term weights T and the diagonal IDF matrix D the
+   TF-IDF matrix is A = T D. The pass computes document frequencies and ``Y = T'T V`` for a test matrix V (random mixtures of
+   the benchmark's rows plus Gaussian columns); as ``A'A (D^-1 V) = D Y``, D may follow from the same pass. Partitions send
+   partial sums of stripes of Y, which are added by stripe. The benchmark's own rows enter with the corpus's total weight, and
+   the Nystroem form gives the leading ``RANK`` right singular vectors. Stop words (more than ``STOP_SHARE`` of the blocks of a
+   sample of ``SAMPLE_ROWS`` rows) have weight zero; the sample only decides which words are worth a weight.
+3. *Search.* Every passage is projected and compared with all parts by cosine; candidates reach ``MIN_COSINE``.
+4. *Verify.* A bit-parallel longest common subsequence of part and passage (parts have at most 64 words, one machine word per
    candidate) and the same for the part's answer, its last ``ANSWER`` words. A part is found if the subsequence covers
    ``FOUND`` of it, or ``PARAPHRASE`` of it with the whole answer.
 
@@ -35,10 +37,11 @@ from pyspark.sql import functions as F
 from furrow.llm.words import Words, chunks
 
 BLOCK = 64
-STOP_SHARE = 0.1
-RANK = 128
-EXTRA = 32
-MIN_COSINE = 0.25
+STOP_SHARE = 0.01
+SAMPLE_ROWS = 2000
+RANK = 96
+EXTRA = 16
+MIN_COSINE = 0.4
 FOUND = 0.75
 PARAPHRASE = 0.5
 ANSWER = 8
@@ -53,9 +56,12 @@ _PUNCT[list(b"!\"'(),-.:;?[]{}")] = True
 def word_hashes(w: Words) -> np.ndarray:
     """Hashes of the words without punctuation at their ends (a word of punctuation alone stays)."""
     lo, hi = w.starts.copy(), w.ends.copy()
-    for _ in range(4):
-        lo += (lo < hi - 1) & _PUNCT[w.buf[lo]] if len(lo) else 0
-        hi -= (hi > lo + 1) & _PUNCT[w.buf[hi - 1]] if len(hi) else 0
+    at = np.flatnonzero(_PUNCT[w.buf[lo]])
+    while len(at := at[(lo[at] < hi[at] - 1) & _PUNCT[w.buf[lo[at]]]]):
+        lo[at] += 1
+    at = np.flatnonzero(_PUNCT[w.buf[hi - 1]])
+    while len(at := at[(hi[at] - 1 > lo[at]) & _PUNCT[w.buf[hi[at] - 1]]]):
+        hi[at] -= 1
     return w.byte_hash(lo, hi)
 
 
@@ -64,7 +70,7 @@ class Benchmark:
     vocabulary: np.ndarray        # sorted word hashes
     parts: list[np.ndarray]       # vocabulary indices of every part's words
     items: np.ndarray             # item_id of every part
-    idf: np.ndarray | None = None
+    idf: np.ndarray | None = None  # zero for stop words
     basis: np.ndarray | None = None
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
@@ -114,14 +120,14 @@ def _blocks(b: Benchmark, col: pa.Array) -> tuple[Words, np.ndarray, np.ndarray,
     return w, ids, block, first
 
 
-def _weights(b: Benchmark, ids: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(block, word, tf-idf weight) of the distinct weighted words of every block, in block order."""
-    ok = ids >= 0
+def _weights(b: Benchmark, ids: np.ndarray, block: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, word, weight) of the distinct weighted words of every block, in block order; `plain` leaves the IDF out."""
+    at = np.flatnonzero(ids >= 0)
     if b.idf is not None:
-        ok[ok] = b.idf[ids[ok]] > 0
-    key, n = np.unique(block[ok] * len(b.vocabulary) + ids[ok], return_counts=True)
+        at = at[b.idf[ids[at]] > 0]
+    key, n = np.unique(block[at] * len(b.vocabulary) + ids[at], return_counts=True)
     word = key % len(b.vocabulary)
-    return key // len(b.vocabulary), word, (1 + np.log(n)) * (b.idf[word] if b.idf is not None else 1.0)
+    return key // len(b.vocabulary), word, (1 + np.log(n)) * (1.0 if plain or b.idf is None else b.idf[word])
 
 
 def _frequencies(shared):
@@ -140,47 +146,43 @@ def _frequencies(shared):
 
 
 def _products(shared, test):
-    """Stripes of A'A W over a partition's blocks."""
+    """Stripes of T'T V over a partition's blocks, with document frequencies."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Benchmark = shared.value
-        w = test.value
-        y, weight, seen = np.zeros_like(w), 0.0, np.zeros(len(w), dtype=bool)
+        v = test.value
+        y, df, blocks = np.zeros_like(v), np.zeros(len(v)), 0
         for batch in batches:
             for c in chunks(batch, "text"):
-                _, ids, block, _ = _blocks(b, c.column("text"))
-                own, word, x = _weights(b, ids, block)
-                for lo in range(0, len(own), 100_000):
-                    hi = min(lo + 100_000, len(own))
-                    while hi < len(own) and own[hi] == own[hi - 1]:
-                        hi += 1
-                    if lo and own[lo] == own[lo - 1]:
-                        lo += int(np.argmax(own[lo:hi] != own[lo])) if (own[lo:hi] != own[lo]).any() else hi - lo
-                    if lo >= hi:
-                        continue
-                    o, i, v = own[lo:hi], word[lo:hi], x[lo:hi, None].astype(np.float32)
-                    head = np.flatnonzero(np.diff(o, prepend=-1))
-                    z = np.add.reduceat(w[i] * v, head, axis=0)
-                    z = np.repeat(z, np.diff(np.append(head, len(o))), axis=0) * v
-                    order = np.argsort(i, kind="stable")
-                    first = np.flatnonzero(np.diff(i[order], prepend=-1))
-                    y[i[order][first]] += np.add.reduceat(z[order], first, axis=0)
-                    seen[i] = True
-                    weight += float((v * v).sum())
-        for lo in range(0, len(w), STRIPE):
-            if seen[lo:lo + STRIPE].any():
-                yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int32()), pa.array([y[lo:lo + STRIPE].tobytes()], pa.binary()),
-                                                  pa.array([weight if lo == 0 else 0.0])], names=["stripe", "y", "weight"])
-        if not seen[:STRIPE].any() and weight:
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([y[:STRIPE].tobytes()], pa.binary()),
-                                              pa.array([weight])], names=["stripe", "y", "weight"])
+                _, ids, block, first = _blocks(b, c.column("text"))
+                own, word, x = _weights(b, ids, block, plain=True)
+                df += np.bincount(word, minlength=len(df))
+                blocks += int(first[-1])
+                if not len(own):
+                    continue
+                x = x[:, None].astype(np.float32)
+                head = np.flatnonzero(np.diff(own, prepend=-1))
+                z = np.add.reduceat(v[word] * x, head, axis=0)
+                order = np.argsort(word, kind="stable")
+                start = np.flatnonzero(np.diff(word[order], prepend=-1))
+                row = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(own))))
+                y[word[order][start]] += np.add.reduceat(z[row[order]] * x[order], start, axis=0)
+        for lo in range(0, len(v), STRIPE):
+            if lo == 0 or df[lo:lo + STRIPE].any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lo], pa.int32()), pa.array([y[lo:lo + STRIPE].tobytes()], pa.binary()),
+                     pa.array([df[lo:lo + STRIPE].tobytes()], pa.binary()), pa.array([blocks if lo == 0 else 0], pa.int64())],
+                    names=["stripe", "y", "df", "blocks"])
     return run
 
 
+_STRIPE = "stripe int, y binary, df binary, blocks long"
+
+
 def _add(group: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(len(group["y"].iloc[0]) // 4, dtype=np.float64)
-    for y in group["y"]:
-        total += np.frombuffer(y, np.float32)
-    return pd.DataFrame({"stripe": [group["stripe"].iloc[0]], "y": [total.tobytes()], "weight": [group["weight"].sum()]})
+    y = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group["y"])
+    df = sum(np.frombuffer(x, np.float64) for x in group["df"])
+    return pd.DataFrame({"stripe": [group["stripe"].iloc[0]], "y": [y.astype(np.float32).tobytes()], "df": [df.tobytes()],
+                         "blocks": [group["blocks"].sum()]})
 
 
 def fit(docs: DataFrame, b: Benchmark, rank: int = RANK, seed: int = 11) -> Benchmark:
@@ -188,38 +190,42 @@ def fit(docs: DataFrame, b: Benchmark, rank: int = RANK, seed: int = 11) -> Benc
     sc = docs.sparkSession.sparkContext
     texts = docs.where("text is not null").select(F.lower("text").alias("text"))
     n_words = len(b.vocabulary)
-    df = np.zeros(n_words + 1)
-    for r in (texts.mapInArrow(_frequencies(sc.broadcast(b)), "word int, n long")
+    seen = np.zeros(n_words + 1)
+    for r in (texts.limit(SAMPLE_ROWS).mapInArrow(_frequencies(sc.broadcast(b)), "word int, n long")
               .groupBy("word").agg(F.sum("n").alias("n")).collect()):
-        df[r.word] = r.n
-    blocks = max(df[-1], 1.0)
-    idf = np.where(df[:-1] > STOP_SHARE * blocks, 0.0, np.log((blocks + 1) / (df[:-1] + 0.5)))
-    b = Benchmark(b.vocabulary, b.parts, b.items, idf)
+        seen[r.word] = r.n
+    live = seen[:-1] <= STOP_SHARE * max(seen[-1], 1.0)
+    b = Benchmark(b.vocabulary, b.parts, b.items, live.astype(float))
 
     rng = np.random.default_rng(seed)
-    rows = np.zeros((len(b.parts), n_words), dtype=np.float32)  # the benchmark's own TF-IDF rows
+    rows = np.zeros((len(b.parts), n_words), dtype=np.float32)  # the benchmark's own term weights
     for i, part in enumerate(b.parts):
         word, n = np.unique(part, return_counts=True)
-        rows[i, word] = (1 + np.log(n)) * idf[word]
+        rows[i, word] = (1 + np.log(n)) * live[word]
     columns = min(rank + EXTRA, n_words)
     mixed = rows.T @ rng.standard_normal((len(b.parts), columns - columns // 5))
-    test, _ = np.linalg.qr(np.hstack([mixed, rng.standard_normal((n_words, columns // 5))]))
-    test = np.ascontiguousarray(test, dtype=np.float32)
-    y = np.zeros(test.shape)
-    weight = 0.0
-    for r in (texts.mapInArrow(_products(sc.broadcast(b), sc.broadcast(test)), "stripe int, y binary, weight double")
-              .groupBy("stripe").applyInPandas(_add, "stripe int, y binary, weight double").toLocalIterator()):
-        part = np.frombuffer(r.y, np.float64).reshape(-1, test.shape[1])
+    test, _ = np.linalg.qr(np.hstack([mixed, rng.standard_normal((n_words, columns // 5)) * live[:, None]]))
+    test = np.ascontiguousarray(test * live[:, None], dtype=np.float32)
+    y, df, blocks = np.zeros(test.shape), np.zeros(n_words), 0
+    for r in (texts.mapInArrow(_products(sc.broadcast(b), sc.broadcast(test)), _STRIPE)
+              .groupBy("stripe").applyInPandas(_add, _STRIPE).toLocalIterator()):
+        part = np.frombuffer(r.y, np.float32).reshape(-1, test.shape[1])
         y[r.stripe:r.stripe + len(part)] += part
-        weight += r.weight
-    own = float((rows.astype(np.float64) ** 2).sum())
-    y += (rows.T @ (rows @ test)) * (max(weight, own) / max(own, 1e-12))
-    core = test.T.astype(np.float64) @ y
-    core = (core + core.T) / 2
-    value, vector = np.linalg.eigh(core)
-    good = value > value.max() * 1e-10
-    half = y @ (vector[:, good] / np.sqrt(value[good]))
-    basis, _, _ = np.linalg.svd(half, full_matrices=False)
+        df[r.stripe:r.stripe + len(part)] += np.frombuffer(r.df, np.float64)
+        blocks += r.blocks
+    idf = np.where(live, np.log((max(blocks, 1) + 1) / (df + 0.5)), 0.0)
+    idf[live] = np.maximum(idf[live], 0.1)
+
+    own = rows * idf[None, :]
+    inverse = np.where(live, 1 / np.maximum(idf, 0.1), 0.0)
+    y = idf[:, None] * y
+    extra = own.T @ (own @ (inverse[:, None] * test))
+    y += extra * max(1.0, float((idf**2 * df).sum())) / max(float((own**2).sum()), 1e-12)
+    core = (test * inverse[:, None]).T @ y
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    good = value > max(value.max(), 1e-300) * 1e-10
+    basis, _, _ = np.linalg.svd(y @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)
+    b.idf = idf
     b.basis = np.ascontiguousarray(basis[:, :rank], dtype=np.float32)
     return b
 
