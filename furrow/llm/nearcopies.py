@@ -141,13 +141,13 @@ def _members(size: int):
                 values, offs = shingle_sets(Words(c.column("text"), lower=True), size)
                 regs = sketches(values, offs)
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(x) for x in ("id", "grp", "blocks", "label")]
+                    [c.column(x) for x in ("id", "grp", "blocks")]
                     + [pa.array([r.tobytes() for r in regs], pa.binary()), list_array(as_long(values), offs, pa.int64())],
-                    names=["id", "grp", "blocks", "label", "regs", "set"])
+                    names=["id", "grp", "blocks", "regs", "set"])
     return run
 
 
-_MEMBER = "id long, grp long, blocks int, label long, regs binary, set array<long>"
+_MEMBER = "id long, grp long, blocks int, regs binary, set array<long>"
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -255,13 +255,14 @@ def near_copies(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFra
     grp.join(size, "grp").select("id", "grp", "blocks").write.parquet(grp_path)
     member = spark.read.schema("id long, grp long, blocks int").parquet(grp_path)
 
-    def with_sets(of: DataFrame) -> DataFrame:
-        # Candidates grow with the corpus, so they are never broadcast: texts are dealt by id at every size.
-        return (base.join(of.hint("merge"), base.doc_id == of.id).select("id", "grp", "blocks", "label", "text")
-                .mapInArrow(_members(shingle), _MEMBER))
+    # Candidates grow with the corpus, so they are never broadcast: texts are dealt by id at every size, once.
+    set_path = scratch_path(spark, "sets")
+    (base.join(member.hint("merge"), base.doc_id == member.id).select("id", "grp", "blocks", "text")
+     .mapInArrow(_members(shingle), _MEMBER).write.parquet(set_path))
+    sets = spark.read.schema(_MEMBER).parquet(set_path)
 
     # Every block with itself and with the first block.
-    dealt = (with_sets(member.withColumn("label", F.col("id"))).withColumn("blk", _bucket("id", 1, F.col("blocks")))
+    dealt = (sets.withColumn("label", F.col("id")).withColumn("blk", _bucket("id", 1, F.col("blocks")))
              .withColumn("task", F.explode(F.when(F.col("blk") == 0, F.sequence(F.lit(0), F.col("blocks") - 1))
                                            .otherwise(F.array("blk"))))
              .withColumn("query", F.lit(True)).drop("blk"))
@@ -281,9 +282,9 @@ def near_copies(docs: DataFrame, shingle: int = 4, percent: int = 80) -> DataFra
         count = label.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("k"))
         main = count.groupBy("grp").agg(F.max(F.struct("k", (-F.col("label")).alias("neg"))).alias("m"), F.sum("k").alias("n"))
         main = main.select("grp", (-F.col("m.neg")).alias("main"), F.ceil((F.col("n") - F.col("m.k")) / BLOCK).cast("int").alias("parts"))
-        sets = with_sets(label).join(main.where("parts > 0"), "grp")
-        query = F.col("label") != F.col("main")
-        rest = _tasks(sets.withColumn("query", query))
+        asked = (sets.where("blocks > 1").join(label.select("id", "label"), "id").join(main.where("parts > 0"), "grp")
+                 .withColumn("query", F.col("label") != F.col("main")))
+        rest = _tasks(asked)
         more = (rest.repartition("grp", "part", "blk").sortWithinPartitions("grp", "part", "blk")
                 .mapInArrow(_confirm(["grp", "part", "blk"], percent), _LINK).where("id <> low").select("id", "low"))
         found = connected_components(big.select("id", "low").unionByName(label.select("id", F.col("label").alias("low")))
