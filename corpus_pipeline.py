@@ -58,8 +58,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_pieces, pieces, lossless): sampled pieces, decoded again for the check."""
     vocabulary = pieces.load(pieces.MODEL_PATH)
-    coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, seed=PIECE_SEED)
-    back = pieces.decode(coded, vocabulary)
+    back = pieces.encode(docs.select("doc_id", "lang", "source", "text"), vocabulary, seed=PIECE_SEED, decoded="decoded")
     return back.select("doc_id", "lang", "source", F.size("pieces").cast("long").alias("n_pieces"), "pieces",
                        F.equal_null("decoded", "text").alias("lossless"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from furrow.llm.words import Words, chunks, flat, list_array, lists, mix
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 _SPACE = "▁".encode()
 _SCALE = np.int64(1 << 32)
 _SEED = np.uint64(0xCBF29CE484222325)
@@ -51,7 +51,8 @@ class Vocabulary:
     data: np.ndarray       # bytes of all pieces
     offs: np.ndarray       # offsets by piece id
     longest: int           # bytes of the longest lattice piece
-    slots: np.ndarray      # by the top 22 bits of a hash: first piece with them, -2 only beginnings of pieces, -1 nothing
+    kinds: np.ndarray      # by the top 20 bits of a hash: 2 may be a piece, 1 may begin one, 0 neither
+    slots: np.ndarray      # by the top 22 bits of a hash: the first piece with them, or -1
     crowd: int             # most pieces with equal top bits
     ends: np.ndarray       # first and last byte of the lattice pieces
     hashes: np.ndarray     # sorted hashes of lattice pieces
@@ -80,21 +81,23 @@ def load(path: str = MODEL_PATH) -> Vocabulary:
     order = sorted(lattice, key=lambda i: (-sp.get_score(i), i))
     weight = np.full(n, -30.0)
     weight[order] = -np.log(2.0 + np.arange(len(order)))
-    slots = np.full(1 << 22, -1, dtype=np.int32)
+    kinds = np.zeros(1 << 20, dtype=np.uint8)
     hashes = np.empty(len(lattice), dtype=np.uint64)
     for j, i in enumerate(lattice):
         state = np.full(1, _SEED)
         for b in raw[i]:
             state = _step(state, np.array([b], dtype=np.uint8))
-            slots[state[0] >> np.uint64(42)] = -2
+            kinds[state[0] >> np.uint64(44)] = 1
         hashes[j] = state[0]
     by = np.argsort(hashes)
     hashes, ids = hashes[by], np.array(lattice)[by]
     top, first, crowd = np.unique(hashes >> np.uint64(42), return_index=True, return_counts=True)
+    kinds[hashes >> np.uint64(44)] = 2
+    slots = np.full(1 << 22, -1, dtype=np.int32)
     slots[top] = first
     ends = np.array([(raw[i][0], raw[i][-1]) for i in ids], dtype=np.uint8)
     return Vocabulary(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]),
-                      max(len(raw[i]) for i in lattice), slots, int(crowd.max()), ends, hashes, ids, weight, byte_ids)
+                      max(len(raw[i]) for i in lattice), kinds, slots, int(crowd.max()), ends, hashes, ids, weight, byte_ids)
 
 
 class _Lattice:
@@ -113,11 +116,12 @@ class _Lattice:
         alive = np.searchsorted(-size[by_size], -np.arange(deepest + 1), side="right")  # units with a node at each depth
         level = np.concatenate([[0], np.cumsum(alive)])
         n_nodes = int(level[-1])
+        level = level.astype(np.int32)
         pos = (np.arange(len(buf)) - np.repeat(offs[:-1], size)).astype(np.int32)
-        left = (np.repeat(size, size) - pos).astype(np.int32)
-        urank = np.repeat(rank, size)
+        left = np.repeat(size.astype(np.int32), size) - pos
+        urank = np.repeat(rank.astype(np.int32), size)
         starts, sizes, idents = [], [], []
-        at, h = np.arange(len(buf)), np.full(len(buf), _SEED)
+        at, h = np.arange(len(buf), dtype=np.int32), np.full(len(buf), _SEED)
         for n in range(1, v.longest + 1):  # positions whose next n bytes begin a piece
             if n > 1:
                 ok = left[at] >= n
@@ -125,54 +129,60 @@ class _Lattice:
             if not len(at):
                 break
             h = _step(h, buf[at + (n - 1)])
-            slot = v.slots[h >> np.uint64(42)]
-            i = np.flatnonzero(slot >= 0)
-            who, want, first = at[i], h[i], slot[i]
+            kind = v.kinds[h >> np.uint64(44)]
+            i = np.flatnonzero(kind == 2)
+            slot = v.slots[h[i] >> np.uint64(42)]
+            i, first = i[slot >= 0], slot[slot >= 0]
+            who, want = at[i], h[i]
             piece = np.full(len(i), -1, dtype=np.int32)
             for k in range(v.crowd):  # pieces that share the top bits are neighbours
                 j = np.minimum(first + k, len(v.hashes) - 1)
-                same = (v.hashes[j] == want) & (v.ends[j, 0] == buf[who]) & (v.ends[j, 1] == buf[who + n - 1])
+                same = (v.hashes[j] == want) & (v.ends[j, 0] == buf[who]) & (v.ends[j, 1] == buf[who + (n - 1)])
                 piece[same] = v.ids[j[same]]
             got = piece >= 0
             starts.append(who[got])
             sizes.append(n)
             idents.append(piece[got])
-            ok = slot != -1
+            ok = kind > 0
             at, h = at[ok], h[ok]
         # Bytes of characters without a piece of their own.
-        width = np.where(buf < 0x80, 1, np.where(buf < 0xE0, 2, np.where(buf < 0xF0, 3, 4)))
+        width = np.where(buf < 0x80, 1, np.where(buf < 0xE0, 2, np.where(buf < 0xF0, 3, 4))).astype(np.int8)
         own = np.zeros(len(buf), dtype=bool)
         for s, n in zip(starts, sizes, strict=True):
-            own[s[width[s] == n]] = True
+            if n <= 4:
+                own[s[width[s] == n]] = True
         char = np.flatnonzero((buf & 0xC0) != 0x80)
-        spelt = np.flatnonzero(~np.repeat(own[char], np.diff(np.append(char, len(buf)))))
+        spelt = np.flatnonzero(~np.repeat(own[char], np.diff(np.append(char, len(buf))))).astype(np.int32)
         if len(spelt):
             starts.append(spelt)
             sizes.append(1)
             idents.append(v.byte_ids[buf[spelt]].astype(np.int32))
 
         # Edges by end node: counting first, then one pass per length.
-        ends = [level[pos[s] + n] + urank[s] for s, n in zip(starts, sizes, strict=True)]
-        many = np.zeros(n_nodes, dtype=np.int64)
-        for e in ends:
-            many[e] += 1  # a length has one edge per end
+        many = np.zeros(n_nodes, dtype=np.int32)
+        for s, n in zip(starts, sizes, strict=True):
+            many[level[pos[s] + n] + urank[s]] += 1  # a length has one edge per end
         self.head = np.concatenate([[0], np.cumsum(many)])
         free = self.head[:-1].copy()
-        self.back = np.empty(self.head[-1], dtype=np.int64)
+        self.back = np.empty(self.head[-1], dtype=np.int32)
         self.ident = np.empty(self.head[-1], dtype=np.int32)
-        for s, e, ident in zip(starts, ends, idents, strict=True):
-            self.back[free[e]] = level[pos[s]] + urank[s]
-            self.ident[free[e]] = ident
+        while starts:
+            s, n, ident = starts.pop(0), sizes.pop(0), idents.pop(0)
+            e = level[pos[s] + n] + urank[s]
+            slot = free[e]
+            self.back[slot] = level[pos[s]] + urank[s]
+            self.ident[slot] = ident
             free[e] += 1
-        gain = (v.weight / temperature)[self.ident]
+        del free, pos, left, urank
+        weight = v.weight / temperature
         alpha = np.zeros(n_nodes)
-        run = np.empty(len(gain), dtype=np.int64)
+        run = np.empty(len(self.ident), dtype=np.int64)
         for p in range(1, deepest + 1):
             lo, hi = level[p], level[p + 1]
             e0, e1 = self.head[lo], self.head[hi]
             some = many[lo:hi] > 0  # none ends inside a character
             cut, k = self.head[lo:hi][some] - e0, many[lo:hi][some]
-            x = alpha[self.back[e0:e1]] + gain[e0:e1]
+            x = alpha[self.back[e0:e1]] + weight[self.ident[e0:e1]]
             top = np.maximum.reduceat(x, cut)
             w = np.exp(x - np.repeat(top, k))
             total = np.add.reduceat(w, cut)
@@ -183,7 +193,8 @@ class _Lattice:
         self.total = np.zeros(n_nodes, dtype=np.int64)
         has = many > 0
         self.total[has] = run[self.head[1:][has] - 1]
-        self.cum = np.repeat(np.arange(n_nodes) * _SCALE, many) + run
+        run += np.repeat(np.arange(n_nodes) * _SCALE, many)
+        self.cum = run
         self.n_units = n_units
         self.last_node = level[size] + rank
 
@@ -286,20 +297,25 @@ def _with_nulls(col: pa.Array, like: pa.Array) -> pa.Array:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str = "doc_id", seed: int = 0,
-           temperature: float = 1.0, out: str = "pieces") -> DataFrame:
-    """The rows with a column `out` (array<int>) of sampled piece ids; it replaces a column of that name."""
+           temperature: float = 1.0, out: str = "pieces", decoded: str | None = None) -> DataFrame:
+    """The rows with a column `out` (array<int>) of sampled piece ids; it replaces a column of that name. With `decoded` a
+    column of that name holds the text decoded from the ids in the same task."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    src = docs.drop(out)
+    src = docs.drop(out, *([decoded] if decoded else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch, "__text", CHUNK):
                 keys = c.column("__key").fill_null(0).to_numpy()
                 ids, offs = encode_chunk(shared.value, c.column("__text"), keys, seed, temperature)
-                made = _with_nulls(list_array(ids, offs, pa.int32()), c.column("__text"))
-                yield _append(c.drop_columns(["__text", "__key"]), out, made)
-
-    schema = T.StructType([*src.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
+                made = _append(c.drop_columns(["__text", "__key"]), out,
+                               _with_nulls(list_array(ids, offs, pa.int32()), c.column("__text")))
+                if decoded:
+                    made = _append(made, decoded, _with_nulls(decode_chunk(shared.value, ids, offs), c.column("__text")))
+                yield made
+
+    schema = T.StructType([*src.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())),
+                           *([T.StructField(decoded, T.StringType())] if decoded else [])])
     return src.withColumns({"__text": F.col(f"`{text}`"), "__key": F.col(f"`{key}`").cast("long")}).mapInArrow(run, schema)
 
 

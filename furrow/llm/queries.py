@@ -143,7 +143,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = pieces.load(pieces.MODEL_PATH)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = pieces.decode(pieces.encode(docs, v, seed=7), v)
+    back = pieces.encode(docs, v, seed=7, decoded="decoded")
     return back.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"),
                        F.xxhash64("pieces").alias("pieces_hash"), F.sha2("decoded", 256).alias("decoded_sha256"),
                        F.equal_null("decoded", "text").alias("lossless"))
