@@ -8,7 +8,8 @@
    the benchmark's rows plus Gaussian columns); as ``A'A (D^-1 V) = D Y``, D may follow from the same pass. Partitions send
    partial sums of stripes of Y, which are added by stripe. The benchmark's own rows enter with the corpus's total weight, and
    the Nystroem form gives the leading ``RANK`` right singular vectors. Stop words (more than ``STOP_SHARE`` of the blocks of a
-   sample of ``SAMPLE_ROWS`` rows) have weight zero; the sample only decides which words are worth a weight.
+   sample of ``SAMPLE_ROWS`` rows of at most ``SAMPLE_BYTES``) have weight zero, but for the LIVE_WORDS
+   rarest words of a part; the sample only decides which words are worth a weight.
 3. *Search.* Every passage is projected and compared with all parts by cosine; candidates reach ``MIN_COSINE``.
 4. *Verify.* A bit-parallel longest common subsequence of part and passage (parts have at most 64 words, one machine word per
    candidate) and the same for the part's answer, its last ``ANSWER`` words. A part is found if the subsequence covers
@@ -37,11 +38,13 @@ from pyspark.sql import functions as F
 from furrow.llm.words import Words, chunks
 
 BLOCK = 64
-STOP_SHARE = 0.01
-SAMPLE_ROWS = 2000
+STOP_SHARE = 0.02
+LIVE_WORDS = 8
+SAMPLE_ROWS = 500
+SAMPLE_BYTES = 1 << 16
 RANK = 96
 EXTRA = 16
-MIN_COSINE = 0.4
+MIN_COSINE = 0.3
 FOUND = 0.75
 PARAPHRASE = 0.5
 ANSWER = 8
@@ -191,10 +194,14 @@ def fit(docs: DataFrame, b: Benchmark, rank: int = RANK, seed: int = 11) -> Benc
     texts = docs.where("text is not null").select(F.lower("text").alias("text"))
     n_words = len(b.vocabulary)
     seen = np.zeros(n_words + 1)
-    for r in (texts.limit(SAMPLE_ROWS).mapInArrow(_frequencies(sc.broadcast(b)), "word int, n long")
+    sample = docs.sparkSession.createDataFrame(texts.where(F.octet_length("text") <= SAMPLE_BYTES).take(SAMPLE_ROWS), "text string")
+    for r in (sample.mapInArrow(_frequencies(sc.broadcast(b)), "word int, n long")
               .groupBy("word").agg(F.sum("n").alias("n")).collect()):
         seen[r.word] = r.n
     live = seen[:-1] <= STOP_SHARE * max(seen[-1], 1.0)
+    for part in b.parts:
+        word = np.unique(part)
+        live[word[np.argsort(seen[word], kind="stable")[:LIVE_WORDS]]] = True
     b = Benchmark(b.vocabulary, b.parts, b.items, live.astype(float))
 
     rng = np.random.default_rng(seed)

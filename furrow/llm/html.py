@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_PAGES = 240
+TRAIN_PAGES = 400
 PAGE_BATCH = 400
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)>|[!?/][^>]*>)""", re.S)
@@ -333,8 +333,8 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 5) -> list[str]:
         return el("div", 0, " ".join(f'<a href="/s">{words(1)}</a>' for _ in range(4)), cls("share", "social", "tags", "author-meta"))
 
     def content() -> str:
-        out = [el(pick("h1", "h1", "h2"), 1, words(rng.integers(2, 12)))] if flip(0.85) else []
-        for _ in range(rng.integers(1, 9)):
+        out = [el(pick("h1", "h1", "h2"), 1, words(rng.integers(2, 12)))] if flip(0.7) else []
+        for _ in range(int(rng.choice([1, 1, 1, 2, 3, 5, 8]))):
             kind = rng.random()
             if kind < 0.66:
                 out.append(el("p", 1, block(1, int(rng.choice([1, 3, 8, 30, 90, 200])))))
@@ -357,7 +357,9 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 5) -> list[str]:
     pages = []
     for _ in range(n):
         style = rng.random()
-        if style < 0.4:
+        if style < 0.15:  # next to nothing inside
+            core = el(pick("article", "article", "main"), 1, el("p", 1, block(1, int(rng.integers(1, 9)))))
+        elif style < 0.45:
             core = el("article", 1, content(), pick("", "", 'class="post"'))
             core = el("main", 0, core) if flip(0.4) else core
         elif style < 0.55:
@@ -370,6 +372,9 @@ def labelled_pages(n: int = TRAIN_PAGES, seed: int = 5) -> list[str]:
             core = el("div", 0, core + (boiler() if flip(0.5) else ""), pick("", 'class="wrapper"', 'class="container"', 'id="page"'))
         before = "".join(boiler() for _ in range(rng.integers(0, 4)))
         after = "".join(boiler() for _ in range(rng.integers(0, 5)))
+        if flip(0.1):
+            pages.append(before + core + after)
+            continue
         pages.append(f"<html data-y=0><head><title>{words(3)}</title></head>" + el("body", 0, before + core + after) + "</html>")
     return pages
 

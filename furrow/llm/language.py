@@ -123,7 +123,7 @@ def learn(docs: DataFrame) -> dict:
             .mapInArrow(count, "lang string, bucket int, n long")
             .groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
     # At most 2**BITS + len(SCRIPTS) rows per language; the number of languages is checked first.
-    langs = [r.lang for r in seen.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
+    langs = [r.lang for r in docs.where("lang is not null").select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
     if len(langs) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     table = seen.toArrow()

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from furrow.llm.words import Words, chunks, flat, owner_key, window_hashes, window_inside
 
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 500
+SAMPLE_BYTES = 1 << 16
 MIN_WORDS = 50
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -135,7 +136,9 @@ BASE_RULES = ("min_words", "repeated_windows")
 
 
 def plan_cascade(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejections per second, measured on at most `rows` documents (read from the table's first files)."""
+    """Rule names by rejections per second, measured on at most `rows` documents of at most SAMPLE_BYTES each.
+
+    The sample is taken from the table's first files, so its cost does not grow with the table."""
     names = [r.name for r in rules]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +152,8 @@ def plan_cascade(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS) ->
                     cost[r.name] += time.perf_counter() - t
         yield pa.RecordBatch.from_pydict({"rule": names, "hits": [hits[n] for n in names], "cost": [cost[n] for n in names]})
 
-    seen = (docs.select(F.coalesce("text", F.lit("")).alias("text")).limit(rows)
+    sample = docs.where(F.octet_length("text") <= SAMPLE_BYTES).select("text").take(rows)
+    seen = (docs.sparkSession.createDataFrame(sample, "text string")
             .mapInArrow(measure, "rule string, hits long, cost double")
             .groupBy("rule").agg(F.sum("hits").alias("hits"), F.sum("cost").alias("cost")).collect())
     worth = {r.rule: (r.hits or 0) / max(r.cost or 0.0, 1e-6) for r in seen}
