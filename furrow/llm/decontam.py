@@ -354,7 +354,7 @@ def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _Searcher(shared.value)
         for batch in batches:
-            for c in chunks(batch, "__text", 2 << 20):
+            for c in chunks(batch, "__text"):
                 doc, item, share, answer, start = s.find(c.column("__text"))
                 yield pa.RecordBatch.from_arrays(
                     [c.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(item, pa.int64()), pa.array(share, pa.float64()),
@@ -367,7 +367,7 @@ def _clean(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _Searcher(shared.value)
         for batch in batches:
-            for c in chunks(batch, "__text", 2 << 20):
+            for c in chunks(batch, "__text"):
                 keep = np.ones(c.num_rows, dtype=bool)
                 keep[s.find(c.column("__text"))[0]] = False
                 yield c.drop_columns(["__text"]).filter(pa.array(keep))

@@ -17,7 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
