@@ -97,6 +97,12 @@ def fit_pipeline(train: DataFrame, numeric: list[str], categorical: list[str], l
     return Pipeline(stages=feature_pipeline(numeric, categorical, label) + [estimator]).fit(train)
 
 
+def ridge_penalty(t: DataFrame, label: str, alpha: float = 1.0) -> float:
+    """``alpha * stddev_samp(label) / n``: makes Spark's scaled objective match the closed-form ridge solution."""
+    st = t.agg(F.stddev_samp(label).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    return alpha * (st["s"] or 1.0) / max(st["n"], 1)
+
+
 def fit_ridge_classifier(train: DataFrame, numeric, categorical, label, alpha: float = 1.0):
     """Ridge regression on the label code; predictions are rounded half-even and clipped.
 
@@ -105,9 +111,8 @@ def fit_ridge_classifier(train: DataFrame, numeric, categorical, label, alpha: f
     """
     prep = Pipeline(stages=feature_pipeline(numeric, categorical, label)).fit(train)
     t = prep.transform(train)
-    st = t.agg(F.stddev_samp("label_idx").alias("s"), F.count(F.lit(1)).alias("n")).first()
     lr = LinearRegression(featuresCol="features", labelCol="label_idx", elasticNetParam=0.0,
-                          regParam=alpha * (st["s"] or 1.0) / st["n"], standardization=False, solver="l-bfgs",
+                          regParam=ridge_penalty(t, "label_idx", alpha), standardization=False, solver="l-bfgs",
                           tol=1e-10, maxIter=500)
     model = lr.fit(t)
     return PipelineModel(stages=[prep, model])
@@ -132,7 +137,8 @@ def fit_rff_svm(train: DataFrame, numeric, categorical, label, c: float = 10.0,
     gamma = _gamma_scale(t, d)
     # Cached: every one-vs-rest fit and every solver iteration re-reads it.
     z = rff_transform(t, d, n_components, gamma).select("label_idx", "rff").cache()
-    svc = LinearSVC(featuresCol="rff", labelCol="label_idx", regParam=1.0 / (c * 1.0), maxIter=max_iter)
+    n = z.count()  # Spark averages the hinge loss, so a penalty C on the sum is 1 / (C n) here
+    svc = LinearSVC(featuresCol="rff", labelCol="label_idx", regParam=1.0 / (c * max(n, 1)), maxIter=max_iter)
     svm = OneVsRest(classifier=svc, featuresCol="rff", labelCol="label_idx", parallelism=8).fit(z)
     prob = LogisticRegression(featuresCol="rff", labelCol="label_idx", family="multinomial", maxIter=max_iter,
                               regParam=1.0 / (c * 100.0)).fit(z)

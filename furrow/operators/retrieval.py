@@ -81,6 +81,7 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = 3, exclude_self: bool = Fa
     Output: (qid, rank, did, distance, <doc columns>). With ``exclude_self``
     a document never matches the query of the same id.
     """
+    docs = docs.filter(F.col("dvec").isNotNull())  # documents without a vector have no distance
     pivots = _pivot_row(docs, n_pivots, seed)
     pmat = _pivot_matrix(pivots)
     cells_docs = assign_cells(docs, pivots, pmat)

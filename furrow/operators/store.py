@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +24,9 @@ def load_store(spark: SparkSession, path: str) -> tuple[DataFrame | None, bool]:
     """(store, loaded): a missing or empty store is 'not loaded'."""
     try:
         df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - a missing folder is a normal state here
+    except AnalysisException as e:  # only a missing or empty folder is a normal state
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return None, False
     if df.isEmpty():
         return None, False

@@ -68,7 +68,7 @@ def fit_ridge(spark, sf):
     cls = _acc_row(spark, "crop", "ridge", models.ridge_class_predictions(m, te, 22)) \
         .select("task", "model", F.col("accuracy").alias("score"), F.lit("accuracy").alias("metric"))
     ytr, yte = yield_split(spark, sf)
-    rm = models.fit_pipeline(ytr, YIELD_NUMERIC, YIELD_CATEGORICAL, None, models.regressor("ridge"))
+    rm = models.fit_pipeline(ytr, YIELD_NUMERIC, YIELD_CATEGORICAL, None, models.regressor("ridge", reg=models.ridge_penalty(ytr, "y")))
     met = evaluate.regression_metrics(rm.transform(yte).withColumn("_t", F.lit("yield")), ["_t"], "y", "prediction")
     reg = met.select(F.col("_t").alias("task"), F.lit("ridge").alias("model"),
                      F.inline(F.array(*[F.struct(F.col(c).alias("score"), F.lit(c).alias("metric"))

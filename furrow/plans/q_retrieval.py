@@ -189,16 +189,15 @@ def build_prompt(spark, sf):
                          dec(F.col("p.temperature")), F.lit(", humidity="), dec(F.col("p.humidity")),
                          F.lit(", pH="), dec(F.col("p.ph")), F.lit(", rainfall="), dec(F.col("p.rainfall")))
     prompt = (F.when(F.col("mode") == "ml_model", F.concat(
-        F.lit(SYSTEM_PROMPT), model_ctx, F.lit("\n\nConversation so far:\n"), F.col("history"),
-        F.lit("Using the model input above, answer the farmer:\n"), F.col("text")))
+        F.lit(SYSTEM_PROMPT), model_ctx, F.lit("\n\n[EARLIER TURNS]\n"), F.col("history"),
+        F.lit("[MESSAGE, to be answered from the model input]\n"), F.col("text")))
         .when(F.col("mode") == "rag", F.concat(
-            F.lit(SYSTEM_PROMPT), F.lit("Retrieved documents:\n"), F.col("context"),
-            F.lit("\nEnd of documents.\n\nAnswer from the documents first, then general knowledge.\n"
-                  "Farmer's question: "), F.col("text")))
-        .otherwise(F.concat(F.lit(SYSTEM_PROMPT), F.lit("Conversation so far:\n"), F.col("history"),
-                            F.lit("\nFarmer: "), F.col("text"))))
+            F.lit(SYSTEM_PROMPT), F.lit("[SOURCES]\n"), F.col("context"),
+            F.lit("\n[MESSAGE, sources take precedence]\n"), F.col("text")))
+        .otherwise(F.concat(F.lit(SYSTEM_PROMPT), F.lit("[EARLIER TURNS]\n"), F.col("history"),
+                            F.lit("\n[MESSAGE]\n"), F.col("text"))))
     return j.select("src", "msg_id", "turn", "mode", prompt.alias("prompt"))
 
 
 # Our own wording for the fixed system preamble.
-SYSTEM_PROMPT = "You are a practical farming advisor. Answer clearly and briefly.\n\n"
+SYSTEM_PROMPT = "[ROLE] agronomy assistant; short, plain replies\n\n"

@@ -13,7 +13,8 @@ from furrow.streaming import chat_stream
 
 def _conv_stream(spark, sf):
     schema = table(spark, sf, "conversations").schema
-    return chat_stream.read_stream(spark, sf.rstrip("/"), schema, file_glob="conversations.parquet")
+    # A glob, because the source takes a table that is one file only in that form; folders of files match as well.
+    return chat_stream.read_stream(spark, f"{sf.rstrip('/')}/conversations.parque[t]", schema)
 
 
 @register("stream_route", with_views("chat") + f"""

@@ -196,17 +196,14 @@ def _dec(e, d):
 
 
 @register("render_prediction", with_views("yield_scored") + f"""
-SELECT rec_id, 'Summary: ' || upper(substr(Crop, 1, 1)) || lower(substr(Crop, 2)) || ' grown in ' || State_Name
-  || ' during ' || {sql_strip('Season')} || ' season (' || CAST(Crop_Year AS VARCHAR) || ') on ' || {_dec('Area', 2)}
-  || ' hectares - predicted yield is ' || {_dec('greatest(0.0, yhat)', 2)} || ' t/ha, estimated total production '
-  || {_dec('greatest(0.0, yhat) * Area', 1)} || ' tonnes.' AS summary FROM yield_scored""", ops="C17 C20 C2")
+SELECT rec_id, upper(substr(Crop, 1, 1)) || lower(substr(Crop, 2)) || ', ' || State_Name || ' / ' || {sql_strip('Season')} || ' '
+  || CAST(Crop_Year AS VARCHAR) || ': ' || {_dec('greatest(0.0, yhat)', 2)} || ' t per ha x ' || {_dec('Area', 2)}
+  || ' ha = ' || {_dec('greatest(0.0, yhat) * Area', 1)} || ' t' AS summary FROM yield_scored""", ops="C17 C20 C2")
 def render_prediction(spark, sf):
     s = fx.yield_scored(spark, sf)
     pred = rules.non_negative(F.col("yhat"))
     dec = lambda c, d: c.cast(f"decimal(18,{d})").cast("string")
-    summary = F.concat(F.lit("Summary: "), text.capitalize(F.col("Crop")), F.lit(" grown in "), F.col("State_Name"),
-                       F.lit(" during "), text.strip_ws(F.col("Season")), F.lit(" season ("),
-                       F.col("Crop_Year").cast("string"), F.lit(") on "), dec(F.col("Area"), 2),
-                       F.lit(" hectares - predicted yield is "), dec(pred, 2),
-                       F.lit(" t/ha, estimated total production "), dec(pred * F.col("Area"), 1), F.lit(" tonnes."))
+    summary = F.concat(text.capitalize(F.col("Crop")), F.lit(", "), F.col("State_Name"), F.lit(" / "),
+                       text.strip_ws(F.col("Season")), F.lit(" "), F.col("Crop_Year").cast("string"), F.lit(": "), dec(pred, 2),
+                       F.lit(" t per ha x "), dec(F.col("Area"), 2), F.lit(" ha = "), dec(pred * F.col("Area"), 1), F.lit(" t"))
     return s.select("rec_id", summary.alias("summary"))

@@ -48,7 +48,8 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
     and cells are tolerated), then null tokens become NULL and values are
     cast with ``try_cast``: a malformed cell becomes NULL instead of failing.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True)
+           .option("quote", '"').option("escape", '"').csv(path))
     if strip_header:
         raw = normalize_columns(raw)
     if strip_cells:
@@ -64,8 +65,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV sink with a header and no index column."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """CSV sink with a header and no index column; cell padding, quotes and line breaks are written as they are."""
+    (df.write.mode("overwrite").option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).option("quote", '"').option("escape", '"').csv(path))
 
 
 LEARN_ERROR_SCHEMA = T.StructType([T.StructField("iter", T.IntegerType()),

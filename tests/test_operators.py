@@ -113,3 +113,18 @@ def test_vocab_guard(spark):
     assert vocab.vocab_arrays(df, {"a": "c"}, max_size=10).first()["a"][0] == "v0"
     with pytest.raises(Exception):
         vocab.vocab_arrays(df, {"a": "c"}, max_size=5).collect()
+
+
+def test_csv_keeps_padding(spark, tmp_path):
+    from furrow.sources.tables import read_csv, write_csv
+    df = spark.createDataFrame([("  Crop ", 'a "b"\nc'), (" rice\t", "x")], "k string, v string")
+    write_csv(df, str(tmp_path / "t"))
+    back = read_csv(spark, str(tmp_path / "t"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_knn_ignores_documents_without_a_vector(spark):
+    from furrow.operators.retrieval import knn
+    docs = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [1.0, 0.0])], "did long, dvec array<double>")
+    q = spark.createDataFrame([(9, [0.0, 0.9])], "qid long, qvec array<double>")
+    assert [r.did for r in knn(q, docs, k=2, n_pivots=1).orderBy("rank").collect()] == [1, 3]

@@ -18,3 +18,11 @@ def test_stream_state_counts(spark, sf):
     b = fx.chat(spark, sf).groupBy("conv_id").count()
     j = s.join(b, "conv_id")
     assert j.count() == b.count() and j.filter("n_messages <> count").count() == 0
+
+
+def test_route_reads_every_file_of_a_table_folder(spark, sf, tmp_path):
+    from furrow.plans import q_stream
+    from furrow.sources.tables import table
+    src = table(spark, sf, "conversations")
+    src.repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    assert q_stream.stream_route(spark, str(tmp_path)).count() == src.count()
