@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from furrow.llm.words import Words, chunks, flat, list_array, lists, mix
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _SPACE = "▁".encode()
 _SCALE = np.int64(1 << 32)
 _SEED = np.uint64(0xCBF29CE484222325)
