@@ -22,8 +22,9 @@ import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,11 +32,17 @@ from pyspark.sql import functions as F
 from furrow.functions.rules import round_clip_class
 
 SEED = 42
+#: Spark's deepest tree; stands for "no depth limit".
+UNLIMITED_DEPTH = 30
 
 
 def feature_pipeline(numeric: list[str], categorical: list[str], label: str | None,
-                     scale: bool = True) -> list:
-    """Indexers (code-point order, like a sorted label encoder), assembler, scaler."""
+                     scale: bool = True, n_rows: int | None = None) -> list:
+    """Indexers (code-point order, like a sorted label encoder), assembler, scaler.
+
+    Spark scales by the sample deviation; with the number of training rows the result is
+    brought to the population deviation.
+    """
     stages = []
     if label:
         stages.append(StringIndexer(inputCol=label, outputCol="label_idx", stringOrderType="alphabetAsc"))
@@ -45,10 +52,34 @@ def feature_pipeline(numeric: list[str], categorical: list[str], label: str | No
     stages.append(VectorAssembler(inputCols=numeric + [f"{c}_idx" for c in categorical], outputCol="raw",
                                   handleInvalid="error"))
     if scale:
-        stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True))
+        known = n_rows is not None and n_rows > 1
+        stages.append(StandardScaler(inputCol="raw", outputCol="sample_scaled" if known else "features", withMean=True,
+                                     withStd=True))
+        if known:
+            factor = [math.sqrt(n_rows / (n_rows - 1))] * (len(numeric) + len(categorical))
+            stages.append(ElementwiseProduct(scalingVec=Vectors.dense(factor), inputCol="sample_scaled",
+                                             outputCol="features"))
     return stages
 
 
+def fit_features(train: DataFrame, numeric: list[str], categorical: list[str], label: str | None) -> PipelineModel:
+    """The fitted feature stages, scaled by the population deviation of the training rows."""
+    return Pipeline(stages=feature_pipeline(numeric, categorical, label, n_rows=train.count())).fit(train)
+
+
+def bins_for(prep: PipelineModel, at_least: int, label: str | None) -> int:
+    """Tree bins that hold every category of the fitted indexers, and the one kept for unseen values."""
+    sizes = [len(s.labels) + 1 for s in prep.stages if isinstance(s, StringIndexerModel) and s.getInputCol() != label]
+    return max([at_least, *sizes])
+
+
+def with_bins(estimator, prep: PipelineModel, label: str | None):
+    tree = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
+    if tree.hasParam("maxBins"):
+        tree.setMaxBins(bins_for(prep, tree.getMaxBins(), label))
+    return estimator
+
+
 def rff_weights(dim: int, n_components: int, gamma: float, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     """W ~ N(0, 2*gamma), b ~ U(0, 2*pi): a fixed, seeded parameter of size n_components x dim."""
     rng = np.random.default_rng(seed)
@@ -82,7 +113,7 @@ def _gamma_scale(df: DataFrame, n_features: int) -> float:
 def classifier(name: str, n_features: int, **p):
     if name == "random_forest":
         return RandomForestClassifier(featuresCol="raw", labelCol="label_idx", numTrees=p.get("num_trees", 100),
-                                      maxDepth=p.get("max_depth", 20), featureSubsetStrategy="sqrt",
+                                      maxDepth=p.get("max_depth", UNLIMITED_DEPTH), featureSubsetStrategy="sqrt",
                                       minInstancesPerNode=p.get("min_instances", 1), impurity="gini",
                                       maxBins=p.get("max_bins", 32), seed=SEED)
     if name == "gbt":
@@ -94,7 +125,9 @@ def classifier(name: str, n_features: int, **p):
 
 
 def fit_pipeline(train: DataFrame, numeric: list[str], categorical: list[str], label: str, estimator) -> PipelineModel:
-    return Pipeline(stages=feature_pipeline(numeric, categorical, label) + [estimator]).fit(train)
+    prep = fit_features(train, numeric, categorical, label)
+    model = with_bins(estimator, prep, label).fit(prep.transform(train))
+    return PipelineModel(stages=[*prep.stages, model])
 
 
 def ridge_penalty(t: DataFrame, label: str, alpha: float = 1.0) -> float:
@@ -109,7 +142,7 @@ def fit_ridge_classifier(train: DataFrame, numeric, categorical, label, alpha: f
     ``regParam = alpha * std(y) / n`` makes Spark's scaled objective match the
     closed-form ridge solution (probed in the survey).
     """
-    prep = Pipeline(stages=feature_pipeline(numeric, categorical, label)).fit(train)
+    prep = fit_features(train, numeric, categorical, label)
     t = prep.transform(train)
     lr = LinearRegression(featuresCol="features", labelCol="label_idx", elasticNetParam=0.0,
                           regParam=ridge_penalty(t, "label_idx", alpha), standardization=False, solver="l-bfgs",
@@ -131,7 +164,7 @@ def fit_rff_svm(train: DataFrame, numeric, categorical, label, c: float = 10.0,
     expression with fixed seeded weights, applied identically at train and
     score time by ``rff_transform``.
     """
-    prep = Pipeline(stages=feature_pipeline(numeric, categorical, label)).fit(train)
+    prep = fit_features(train, numeric, categorical, label)
     t = prep.transform(train)
     d = len(numeric) + len(categorical)
     gamma = _gamma_scale(t, d)

@@ -30,6 +30,7 @@ from furrow.functions.hashing import h32
 from furrow.functions.vectors import sq_l2
 from furrow.operators.barrier import barrier
 
+#: Rounding allowance of the pruning bound, relative to the distances compared.
 EPS = 1e-9
 
 
@@ -103,7 +104,7 @@ def knn(queries: DataFrame, docs: DataFrame, k: int = 3, exclude_self: bool = Fa
         lambda acc, c: F.struct((acc["cum"] + c["n"]).alias("cum"),
                                 F.coalesce(acc["ubk"], F.when(acc["cum"] + c["n"] >= need, c["ub"])).alias("ubk")))
     q = barrier(q.select("qid", "qvec", "_b", F.coalesce(walk["ubk"], F.lit(float("inf"))).alias("_ubk")))
-    cand = q.select("qid", "qvec", F.explode(F.filter(F.col("_b"), lambda c: c["lb"] <= F.col("_ubk") + EPS))
+    cand = q.select("qid", "qvec", F.explode(F.filter(F.col("_b"), lambda c: c["lb"] <= F.col("_ubk") * (1 + EPS) + EPS))
                     .alias("_c")).select("qid", "qvec", F.col("_c.cell").alias("cell"))
 
     if strategy == "blocks":

@@ -119,7 +119,7 @@ def _cv(spark, sf, grid_fn, k):
     from pyspark.ml import Pipeline
     prep = Pipeline(stages=models.feature_pipeline(fx.CROP_FEATURES, [], "Crop", scale=False)).fit(folded)
     data = prep.transform(folded).cache()
-    rf = models.classifier("random_forest", 7, num_trees=20)
+    rf = models.classifier("random_forest", 7, num_trees=20, max_depth=20)
     ev = MulticlassClassificationEvaluator(labelCol="label_idx", predictionCol="prediction", metricName="accuracy")
     grid = grid_fn(rf)
     cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=k,
@@ -158,13 +158,13 @@ def tune_rf(spark, sf):
 @register("feature_importance", None, ops="J13")
 def feature_importance(spark, sf):
     tr, _ = crop_split(spark, sf)
-    m = models.fit_pipeline(tr, fx.CROP_FEATURES, [], "Crop", models.classifier("random_forest", 7, num_trees=50))
+    m = models.fit_pipeline(tr, fx.CROP_FEATURES, [], "Crop", models.classifier("random_forest", 7))
     imp = models.feature_importance(m.stages[-1], fx.CROP_FEATURES)
     df = spark.createDataFrame(imp, "feature string, importance double")
     return evaluate.leaderboard(df, [], "feature", "importance")
 
 
-def crop_scorer(spark, sf, num_trees=50):
+def crop_scorer(spark, sf, num_trees=100):
     tr, _ = crop_split(spark, sf)
     return models.fit_pipeline(tr, fx.CROP_FEATURES, [], "Crop",
                                models.classifier("random_forest", 7, num_trees=num_trees))
@@ -194,7 +194,7 @@ def score_batch(spark, sf):
 def model_roundtrip(spark, sf):
     """Save the fitted pipeline (indexers + model), load it, and compare predictions row by row."""
     from pyspark.ml import PipelineModel
-    m = crop_scorer(spark, sf, num_trees=20)
+    m = crop_scorer(spark, sf)
     path = scratch_path(spark, "model")
     m.write().overwrite().save(path)
     m2 = PipelineModel.load(path)

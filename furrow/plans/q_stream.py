@@ -44,7 +44,7 @@ def stream_score(spark, sf):
     from furrow.plans.q_models import crop_scorer
     from furrow.session import scratch_path
     from furrow.sources import fixtures as fx
-    model = crop_scorer(spark, sf, num_trees=20)
+    model = crop_scorer(spark, sf)
     path = scratch_path(spark, "obs-stream-src")
     fx.obs(spark, sf).write.parquet(path)
     src = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)

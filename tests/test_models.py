@@ -60,3 +60,20 @@ def test_shapley_is_additive_and_matches_forest(spark, sf):
     assert len(j) == te.count()
     assert np.allclose(j["b"] + j["s"], j["p"], atol=1e-9)
     assert np.allclose(j["p"], [pv[c] for pv, c in zip(j["pv"], j["c"])], atol=1e-9)
+
+
+def test_features_are_scaled_by_the_population_deviation(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (6.0, "a")], "x double, y string")
+    m = models.fit_features(df, ["x"], [], "y")
+    got = [r.v[0] for r in m.transform(df).select(vector_to_array("features").alias("v")).collect()]
+    x = np.array([1.0, 2.0, 6.0])
+    assert np.allclose(sorted(got), (x - x.mean()) / x.std())
+
+
+def test_tree_bins_follow_the_categories(spark):
+    rows = [(f"c{i % 90:02d}", float(i % 7), i % 2) for i in range(900)]
+    df = spark.createDataFrame(rows, "c string, x double, y int").withColumn("y", F.col("y").cast("string"))
+    est = models.classifier("random_forest", 2, num_trees=2, max_depth=3)
+    m = models.fit_pipeline(df, ["x"], ["c"], "y", est)
+    assert m.stages[-1].getOrDefault("maxBins") == 91
+    assert m.transform(df).count() == 900
