@@ -3,12 +3,13 @@
 ``indexed`` gives each row its 0-based position inside its group in the order
 of ``order_cols``:
 
-1. Approximate cut points of the first order column (``percentile_approx``, a
-   one-row aggregate) split the key range into ``n_buckets`` ordered buckets.
-   A row's bucket is found by a balanced binary search over the cut array,
-   built as nested ``CASE WHEN`` (native, codegen friendly). Buckets are a
-   function of the data only, so recomputation after a lost task or a
-   different AQE plan gives identical positions.
+1. Cut points of the first order column split the key range into ``n_buckets``
+   ordered buckets: ``percentile_approx`` for numbers, and for other types the
+   quantiles of a bounded, hash-chosen row sample (one row for each of a fixed
+   number of hash slots). A row's bucket is found by a binary search of fixed
+   depth over the one-row cut array, one projection a step (native, codegen
+   friendly). Buckets are a function of the data only, so recomputation after a
+   lost task or a different AQE plan gives identical positions.
 2. ``row_number`` within (group, bucket): a hot group is spread over
    ``n_buckets`` tasks instead of one.
 3. The count of the group's rows in earlier buckets comes from a small
@@ -17,7 +18,7 @@ of ``order_cols``:
 Order columns should make the order total (end with a unique key). Rows
 with equal first order value share a bucket; when that value is hot, order
 by a spread-out column first (a hash) or pre-aggregate (as the quantile
-operator does). A non-numeric first order column uses one bucket per group.
+operator does). NULLs come first, as in an ascending sort.
 """
 
 from __future__ import annotations
@@ -33,32 +34,50 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
-def _bucket_expr(x: Column, cuts: Column, lo: int, hi: int) -> Column:
-    """Number of cut points strictly below x, for cuts[lo:hi] (binary search)."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    # cuts are ascending: if cuts[mid] < x, the answer is > mid
-    return F.when(F.element_at(cuts, mid + 1) < x, _bucket_expr(x, cuts, mid + 1, hi)) \
-        .otherwise(_bucket_expr(x, cuts, lo, mid))
+#: Most buckets of one call, whatever the number of shuffle partitions.
+MAX_BUCKETS = 4096
+#: Sampled rows per bucket for columns without an approximate percentile.
+SLOTS_PER_BUCKET = 16
 
 
 def default_buckets(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(MAX_BUCKETS, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def _cut_row(df: DataFrame, first: str, n_buckets: int) -> DataFrame:
+    """One row: the sorted, distinct cut points (at most ``n_buckets - 1``) of a column."""
+    if isinstance(df.schema[first].dataType, _NUMERIC):
+        probs = [i / n_buckets for i in range(1, n_buckets)]
+        cuts = F.percentile_approx(F.col(first).cast("double"), probs, 10000)
+        return df.agg(F.array_sort(F.array_distinct(cuts)).alias("_cuts"))
+    slots = SLOTS_PER_BUCKET * n_buckets
+    h = F.xxhash64(*df.columns)
+    sample = df.filter(F.col(first).isNotNull()).select(F.col(first).alias("_x"), h.alias("_h")) \
+        .groupBy(F.pmod(F.col("_h"), F.lit(slots)).alias("_slot")).agg(F.min_by("_x", "_h").alias("_x"))
+    picked = sample.agg(F.array_sort(F.collect_list("_x")).alias("_s"))  # at most `slots` values
+    take = F.array(*[F.get("_s", F.floor(F.size("_s") * F.lit(i / n_buckets)).cast("int"))
+                     for i in range(1, n_buckets)])
+    return picked.select(F.array_sort(F.array_distinct(F.array_compact(take))).alias("_cuts"))
 
 
 def with_buckets(df: DataFrame, first: str, n_buckets: int, out: str = "_b") -> DataFrame:
-    dtype = df.schema[first].dataType
-    if n_buckets <= 1 or not isinstance(dtype, _NUMERIC):
+    """Number of cut points below the value (NULL: 0), as column ``out``."""
+    n_buckets = min(n_buckets, MAX_BUCKETS)
+    if n_buckets <= 1:
         return df.withColumn(out, F.lit(0))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.agg(F.array_sort(F.array_distinct(
-        F.percentile_approx(F.col(first).cast("double"), probs, 10000))).alias("_cuts"))
-    # One row holding at most n_buckets - 1 numbers: broadcasting it is always safe.
-    j = df.crossJoin(F.broadcast(cuts))
-    n = n_buckets - 1
-    b = _bucket_expr(F.col(first).cast("double"), F.col("_cuts"), 0, n)
-    return j.withColumn(out, F.least(b, F.size("_cuts"))).drop("_cuts")
+    # One row holding at most n_buckets - 1 values: broadcasting it is always safe.
+    j = df.crossJoin(F.broadcast(_cut_row(df, first, n_buckets)))
+    x = F.col(first)
+    if isinstance(df.schema[first].dataType, _NUMERIC):
+        x = x.cast("double")
+    j = j.withColumn(out, F.lit(0))
+    step = 1 << (n_buckets - 1).bit_length() - 1
+    while step:
+        # the cut at position out + step (1-based; NULL beyond the end) lies below x: move on by step
+        j = j.withColumn(out, F.col(out) + F.when(F.get("_cuts", F.col(out) + F.lit(step - 1)) < x, F.lit(step))
+                         .otherwise(F.lit(0)))
+        step >>= 1
+    return j.drop("_cuts")
 
 
 def indexed(df: DataFrame, order_cols: list, group_cols: list[str] | tuple = (),

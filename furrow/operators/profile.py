@@ -41,8 +41,9 @@ def describe_numeric(df: DataFrame, cols: list[str], decimals: int = 6) -> DataF
     basic = long.groupBy("column").agg(
         F.count(F.lit(1)).alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["column"])
-    j = basic.join(qs, "column")
+    # One group per listed column, so both statistics tables are small by construction.
+    qs = exact_quantiles(long, "value", [0.25, 0.5, 0.75], ["column"], few_groups=True)
+    j = basic.join(F.broadcast(qs), "column")
     r = lambda c, a: F.round(F.col(c), decimals).alias(a)
     return j.select("column", "count", r("mean", "mean"), r("std", "std"), r("min", "min"),
                     r("q_0", "p25"), r("q_1", "p50"), r("q_2", "p75"), r("max", "max"))

@@ -45,11 +45,11 @@ FROM yield_clean, (SELECT quantile_cont(yield_per_hectare, 0.99) AS quantile_con
           ops="B5 E11")
 def yield_trim_p99(spark, sf):
     yc = clean.yield_clean(fx.yield_raw(spark, sf))
-    thr = clean.exact_quantiles(yc, "yield_per_hectare", [0.99], key_col="rec_id")
-    kept = clean.trim_upper_quantile(yc, "yield_per_hectare", 0.99, key_col="rec_id").agg(
-        F.count(F.lit(1)).alias("n_kept"))
-    before = yc.agg(F.count(F.lit(1)).alias("n_before"))
-    return thr.select(F.round("q_0", 6).alias("p99")).crossJoin(kept).crossJoin(before)
+    thr = clean.exact_quantiles(yc, "yield_per_hectare", [0.99], key_col="rec_id").select(F.col("q_0").alias("t"))
+    counted = yc.crossJoin(F.broadcast(thr)).groupBy("t").agg(
+        F.sum((F.col("yield_per_hectare") <= F.col("t")).cast("long")).alias("n_kept"),
+        F.count(F.lit(1)).alias("n_before"))
+    return counted.select(F.round("t", 6).alias("p99"), "n_kept", "n_before")
 
 
 @register("project_features", with_views("obs") + """
