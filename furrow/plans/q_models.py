@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
+from furrow.functions import rules
 from furrow.operators import clean, encode, evaluate, models, ranking
 from furrow.plans.registry import register
 from furrow.session import scratch_path
@@ -190,6 +191,30 @@ def score_batch(spark, sf):
     return score_records(crop_scorer(spark, sf), fx.obs(spark, sf))
 
 
+@register("score_fertilizer", None, ops="J16 J10 J3 H1 H2 D2")
+def score_fertilizer(spark, sf):
+    """Score every observation with the fertilizer forest: decoded class, confidence and top 3."""
+    tr, _ = fert_split(spark, sf)
+    m = models.fit_pipeline(tr, FERT_NUMERIC, FERT_CATEGORICAL, "Fertilizer", models.classifier("random_forest", 9))
+    return score_records(m, fx.obs(spark, sf))
+
+
+def score_yield_records(model, records):
+    """Clamped yield per hectare, total over the area, and rating for any number of records."""
+    pred = rules.non_negative(F.col("prediction"))
+    return model.transform(records).select(
+        "rec_id", F.round(pred, 6).alias("predicted"), F.round(pred * F.col("Area"), 6).alias("total"),
+        rules.yield_rating(pred).alias("rating"))
+
+
+@register("score_yield", None, ops="J16 J4 C6 C7 C8")
+def score_yield(spark, sf):
+    """Score every field record with the yield forest; records without a feature are left out as in training."""
+    tr, _ = yield_split(spark, sf)
+    m = models.fit_pipeline(tr, YIELD_NUMERIC, YIELD_CATEGORICAL, None, models.regressor("random_forest"))
+    return score_yield_records(m, clean.drop_null_rows(fx.yield_raw(spark, sf), fx.YIELD_FEATURES))
+
+
 @register("model_roundtrip", None, ops="A7 A8")
 def model_roundtrip(spark, sf):
     """Save the fitted pipeline (indexers + model), load it, and compare predictions row by row."""

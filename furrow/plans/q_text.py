@@ -164,15 +164,12 @@ def detect_entity(spark, sf):
     from furrow.operators.clean import yield_clean
     m = fx.messages(spark, sf)
     yc = yield_clean(fx.yield_raw(spark, sf))
-    voc = vocab.vocab_arrays(yc, {"crops": "Crop", "states": "State_Name", "seasons": "Season"})
-    j = m.crossJoin(F.broadcast(voc))
+    voc = vocab.distinct_values(yc, {"yield_crop": "Crop", "yield_state": "State_Name", "yield_season": "Season"})
+    j = vocab.attach_first_contained(m, "text", voc, ["yield_crop", "yield_state", "yield_season"], strip={"yield_season"})
     return j.select(*MSG_KEY,
                     text.first_contained(F.col("text"), SORTED_SOILS).alias("soil"),
                     text.first_contained(F.col("text"), FERT_CROPS).alias("crop"),
-                    text.first_contained(F.col("text"), F.col("crops")).alias("yield_crop"),
-                    text.first_contained(F.col("text"), F.col("states")).alias("yield_state"),
-                    text.strip_ws(text.first_contained(F.col("text"), F.col("seasons"), strip_items=True))
-                    .alias("yield_season"))
+                    "yield_crop", "yield_state", text.strip_ws(F.col("yield_season")).alias("yield_season"))
 
 
 def _split_sql():

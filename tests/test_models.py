@@ -28,6 +28,17 @@ def test_forest_probabilities_importances_and_roundtrip(spark, sf, tmp_path):
     assert a.join(b, "obs_id").filter("a <> b").count() == 0
 
 
+def test_fertilizer_and_yield_records_are_scored(spark, sf):
+    f = q_models.score_fertilizer(spark, sf).toPandas()
+    assert len(f) == fx.obs(spark, sf).count() and f["confidence"].between(0, 100).all()
+    assert (f["top3"].str.count(r"%\)") == 3).all()
+    y = q_models.score_yield(spark, sf).toPandas()
+    assert len(y) and (y["predicted"] >= 0).all()
+    band = y["predicted"].map(lambda v: "Excellent" if v >= 5 else "Good" if v >= 2.5 else "Average" if v >= 1 else "Low")
+    edge = y["predicted"].isin([1.0, 2.5, 5.0])
+    assert (edge | (band == y["rating"])).all()
+
+
 def test_rff_kernel_approximation(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(40, 3))

@@ -106,13 +106,41 @@ def test_regression_metrics_constant_target(spark):
     assert r["R2"] is None and r["RMSE"] == 1.0 and r["MAE"] == 1.0
 
 
-def test_vocab_guard(spark):
-    import pytest
+def test_vocabulary_match_is_the_same_broadcast_and_joined(spark):
     from furrow.operators import vocab
-    df = spark.createDataFrame([(f"v{i}",) for i in range(10)], "c string")
-    assert vocab.vocab_arrays(df, {"a": "c"}, max_size=10).first()["a"][0] == "v0"
-    with pytest.raises(Exception):
-        vocab.vocab_arrays(df, {"a": "c"}, max_size=5).collect()
+    items = [("Rice",), ("Rice bran oil",), (" Kharif ",), ("ab",), ("b",), ("",), (None,), ("Überlänge Sorte",)]
+    texts = [(1, "I grow rice bran oil"), (2, "kharif season"), (3, "xABx"), (4, ""), (5, None), (6, "nothing"),
+             (7, "die überlänge sorte"), (8, "I grow rice bran oil")]
+    m = spark.createDataFrame(texts, "id long, text string")
+    for keep in (items, [i for i in items if i[0]]):
+        voc = vocab.distinct_values(spark.createDataFrame(keep, "c string"), {"x": "c", "y": "c"})
+        small, large = (vocab.attach_first_contained(m, "text", voc, ["x", "y"], strip={"y"}, broadcast_bytes=b)
+                        for b in (10**6, 0))
+        rows = sorted(map(tuple, large.collect()))
+        assert rows == sorted(map(tuple, small.collect())) and len(rows) == len(texts)
+        if keep is not items:
+            low = {v.lower(): v for v, in keep if v}
+            for i, t, x, _ in rows:
+                hits = sorted(v for k, v in low.items() if t is not None and k in t.lower())
+                assert x == (hits[0] if hits else min(low.values())), i
+
+
+def test_positions_of_strings_with_a_common_prefix(spark):
+    from furrow.operators import ordering
+    vals = [None, None] + [f"common prefix of all keys {i * 7919 % 20011:05d}" for i in range(20_000)]
+    df = spark.createDataFrame(list(enumerate(vals)), "k long, s string")
+    sizes = ordering.with_buckets(df, "s", 500).groupBy("_b").count().toPandas()["count"]
+    assert len(sizes) > 400 and sizes.max() < 400
+    got = [r.k for r in ordering.indexed(df, ["s", "k"], n_buckets=500).orderBy("_idx").collect()]
+    assert got == sorted(range(len(vals)), key=lambda i: (vals[i] is not None, vals[i] or "", i))
+
+
+def test_exact_quantiles_by_group_on_ties_and_tiny_tables(spark):
+    for n in (1, 2, 3, 7, 100, 101):
+        x = np.round(np.random.default_rng(n).normal(size=n), 1)
+        df = spark.createDataFrame([(i % 2, float(v)) for i, v in enumerate(x)], "g int, x double")
+        for r in clean.exact_quantiles(df, "x", [0, 0.25, 0.99, 1], ["g"]).collect():
+            assert np.allclose([r.q_0, r.q_1, r.q_2, r.q_3], np.quantile(x[r.g::2], [0, 0.25, 0.99, 1]))
 
 
 def test_csv_keeps_padding(spark, tmp_path):
