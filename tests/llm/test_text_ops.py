@@ -269,3 +269,16 @@ def test_lm_filter_never_underestimates(make, monkeypatch):
     assert out[(1, 3)].base_score == pytest.approx(sum(math.log10((x + 1) / 16) for x in (4, 3, 3)))
     empty, none = lm.train(make([]).limit(0))
     assert lm.score(make(rows), empty, none).where("n_known = 0 and base_score = 0").count() == 5
+
+
+def test_lm_filter_grows_with_the_ngrams(make):
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{r.randrange(3000)}" for _ in range(500))) for i in range(40)]
+    small, _ = lm.train(make(rows[:4]))
+    m, _ = lm.train(make(rows * 2))
+    size = lambda x: x.blocks.agg(F.sum(F.octet_length("bits"))).first()[0]
+    tok, pair, _ = lm.tokens(Words(pa.array([t for _, t in rows])))
+    for h in (tok, pair):
+        h, n = np.unique(h, return_counts=True)
+        assert (m.probe(h) >= np.floor(np.log2(2 * n)) + 1).all()
+    assert size(m) > 4 * size(small) and m.blocks.count() > 1
