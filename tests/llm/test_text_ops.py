@@ -282,3 +282,11 @@ def test_lm_filter_grows_with_the_ngrams(make):
         h, n = np.unique(h, return_counts=True)
         assert (m.probe(h) >= np.floor(np.log2(2 * n)) + 1).all()
     assert size(m) > 4 * size(small) and m.blocks.count() > 1
+
+
+def test_lm_learns_pairs_seen_once(make):
+    m, counts = lm.train(make([(1, "a b c d"), (2, "a c"), (3, "d b")]))
+    tok, pair, _ = lm.tokens(Words(pa.array(["a b c d", "a c", "d b"])))
+    assert (m.probe(pair) >= 1).all() and (m.probe(tok) >= 1).all()
+    seen, unseen = sorted(lm.score(make([(1, "a b c d"), (2, "d c b a")]), m, counts).collect(), key=lambda r: r.doc_id)
+    assert seen.base_score == pytest.approx(unseen.base_score) and seen.score > unseen.score
