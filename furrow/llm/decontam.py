@@ -3,13 +3,12 @@
 1. *Passages.* Texts are cut into blocks of ``BLOCK`` words; a passage is two neighbouring blocks, so every run of BLOCK words lies
    within one passage. Benchmark items are cut into parts of at most BLOCK words. Words are lower-cased and stripped of ASCII
    punctuation at both ends. The vocabulary is the benchmark's.
-2. *TF-IDF and randomised SVD* in one pass over all blocks of the corpus. With term weights T and the diagonal IDF matrix D the
-   TF-IDF matrix is A = T D. The pass computes document frequencies and ``Y = T'T V`` for a test matrix V (random mixtures of
-   the benchmark's rows plus Gaussian columns); as ``A'A (D^-1 V) = D Y``, D may follow from the same pass. Partitions send
+2. *TF-IDF and randomised SVD* in two passes over all blocks of the corpus. The first counts document frequencies: stop words
+   (in more than ``STOP_SHARE`` of all blocks) have weight zero, but for the LIVE_WORDS rarest words of a part. With term
+   weights T and the diagonal IDF matrix D the TF-IDF matrix is A = T D. The second pass computes ``Y = T'T V`` for a test
+   matrix V (random mixtures of the benchmark's rows plus Gaussian columns), where ``A'A (D^-1 V) = D Y``. Partitions send
    partial sums of stripes of Y, which are added by stripe. The benchmark's own rows enter with the corpus's total weight, and
-   the Nystroem form gives the leading ``RANK`` right singular vectors. Stop words (more than ``STOP_SHARE`` of the blocks of a
-   sample of ``SAMPLE_ROWS`` rows of at most ``SAMPLE_BYTES``) have weight zero, but for the LIVE_WORDS
-   rarest words of a part; the sample only decides which words are worth a weight.
+   the Nystroem form gives the leading ``RANK`` right singular vectors.
 3. *Search.* Every passage is projected and compared with all parts by cosine; candidates reach ``MIN_COSINE``.
 4. *Verify.* A bit-parallel longest common subsequence of part and passage (parts have at most 64 words, one machine word per
    candidate) and the same for the part's answer, its last ``ANSWER`` words. A part is found if the subsequence covers
@@ -40,8 +39,6 @@ from furrow.llm.words import Words, chunks
 BLOCK = 64
 STOP_SHARE = 0.02
 LIVE_WORDS = 8
-SAMPLE_ROWS = 500
-SAMPLE_BYTES = 1 << 16
 RANK = 96
 EXTRA = 16
 MIN_COSINE = 0.3
@@ -75,6 +72,7 @@ class Benchmark:
     items: np.ndarray             # item_id of every part
     idf: np.ndarray | None = None  # zero for stop words
     basis: np.ndarray | None = None
+    df: np.ndarray | None = None   # blocks of the corpus that hold the word
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Vocabulary index of every hash, -1 outside."""
@@ -140,8 +138,10 @@ def _frequencies(shared):
         for batch in batches:
             for c in chunks(batch, "text"):
                 _, ids, block, first = _blocks(b, c.column("text"))
-                _, word, _ = _weights(b, ids, block)
-                df += np.bincount(word, minlength=len(df))
+                at = np.flatnonzero(ids >= 0)
+                key = np.sort(block[at] * len(b.vocabulary) + ids[at])
+                key = key[np.diff(key, prepend=-1) != 0]
+                df += np.bincount(key % len(b.vocabulary), minlength=len(df))
                 df[-1] += first[-1]
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at], pa.int64())], names=["word", "n"])
@@ -149,17 +149,16 @@ def _frequencies(shared):
 
 
 def _products(shared, test):
-    """Stripes of T'T V over a partition's blocks, with document frequencies."""
+    """Stripes of T'T V over a partition's blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: Benchmark = shared.value
         v = test.value
-        y, df, blocks = np.zeros_like(v), np.zeros(len(v)), 0
+        y, met = np.zeros_like(v), np.zeros(len(v), dtype=bool)
         for batch in batches:
             for c in chunks(batch, "text"):
-                _, ids, block, first = _blocks(b, c.column("text"))
+                _, ids, block, _ = _blocks(b, c.column("text"))
                 own, word, x = _weights(b, ids, block, plain=True)
-                df += np.bincount(word, minlength=len(df))
-                blocks += int(first[-1])
+                met[word] = True
                 if not len(own):
                     continue
                 x = x[:, None].astype(np.float32)
@@ -170,22 +169,18 @@ def _products(shared, test):
                 row = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(own))))
                 y[word[order][start]] += np.add.reduceat(z[row[order]] * x[order], start, axis=0)
         for lo in range(0, len(v), STRIPE):
-            if lo == 0 or df[lo:lo + STRIPE].any():
+            if met[lo:lo + STRIPE].any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lo], pa.int32()), pa.array([y[lo:lo + STRIPE].tobytes()], pa.binary()),
-                     pa.array([df[lo:lo + STRIPE].tobytes()], pa.binary()), pa.array([blocks if lo == 0 else 0], pa.int64())],
-                    names=["stripe", "y", "df", "blocks"])
+                    [pa.array([lo], pa.int32()), pa.array([y[lo:lo + STRIPE].tobytes()], pa.binary())], names=["stripe", "y"])
     return run
 
 
-_STRIPE = "stripe int, y binary, df binary, blocks long"
+_STRIPE = "stripe int, y binary"
 
 
 def _add(group: pd.DataFrame) -> pd.DataFrame:
     y = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group["y"])
-    df = sum(np.frombuffer(x, np.float64) for x in group["df"])
-    return pd.DataFrame({"stripe": [group["stripe"].iloc[0]], "y": [y.astype(np.float32).tobytes()], "df": [df.tobytes()],
-                         "blocks": [group["blocks"].sum()]})
+    return pd.DataFrame({"stripe": [group["stripe"].iloc[0]], "y": [y.astype(np.float32).tobytes()]})
 
 
 def fit(docs: DataFrame, b: Benchmark, rank: int = RANK, seed: int = 11) -> Benchmark:
@@ -194,14 +189,14 @@ def fit(docs: DataFrame, b: Benchmark, rank: int = RANK, seed: int = 11) -> Benc
     texts = docs.where("text is not null").select(F.lower("text").alias("text"))
     n_words = len(b.vocabulary)
     seen = np.zeros(n_words + 1)
-    sample = docs.sparkSession.createDataFrame(texts.where(F.octet_length("text") <= SAMPLE_BYTES).take(SAMPLE_ROWS), "text string")
-    for r in (sample.mapInArrow(_frequencies(sc.broadcast(b)), "word int, n long")
-              .groupBy("word").agg(F.sum("n").alias("n")).collect()):
+    for r in (texts.mapInArrow(_frequencies(sc.broadcast(b)), "word int, n long")
+              .groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator()):
         seen[r.word] = r.n
-    live = seen[:-1] <= STOP_SHARE * max(seen[-1], 1.0)
+    df, blocks = seen[:-1], seen[-1]
+    live = df <= STOP_SHARE * max(blocks, 1.0)
     for part in b.parts:
         word = np.unique(part)
-        live[word[np.argsort(seen[word], kind="stable")[:LIVE_WORDS]]] = True
+        live[word[np.argsort(df[word], kind="stable")[:LIVE_WORDS]]] = True
     b = Benchmark(b.vocabulary, b.parts, b.items, live.astype(float))
 
     rng = np.random.default_rng(seed)
@@ -213,13 +208,11 @@ def fit(docs: DataFrame, b: Benchmark, rank: int = RANK, seed: int = 11) -> Benc
     mixed = rows.T @ rng.standard_normal((len(b.parts), columns - columns // 5))
     test, _ = np.linalg.qr(np.hstack([mixed, rng.standard_normal((n_words, columns // 5)) * live[:, None]]))
     test = np.ascontiguousarray(test * live[:, None], dtype=np.float32)
-    y, df, blocks = np.zeros(test.shape), np.zeros(n_words), 0
+    y = np.zeros(test.shape)
     for r in (texts.mapInArrow(_products(sc.broadcast(b), sc.broadcast(test)), _STRIPE)
               .groupBy("stripe").applyInPandas(_add, _STRIPE).toLocalIterator()):
         part = np.frombuffer(r.y, np.float32).reshape(-1, test.shape[1])
         y[r.stripe:r.stripe + len(part)] += part
-        df[r.stripe:r.stripe + len(part)] += np.frombuffer(r.df, np.float64)
-        blocks += r.blocks
     idf = np.where(live, np.log((max(blocks, 1) + 1) / (df + 0.5)), 0.0)
     idf[live] = np.maximum(idf[live], 0.1)
 
@@ -232,7 +225,7 @@ def fit(docs: DataFrame, b: Benchmark, rank: int = RANK, seed: int = 11) -> Benc
     value, vector = np.linalg.eigh((core + core.T) / 2)
     good = value > max(value.max(), 1e-300) * 1e-10
     basis, _, _ = np.linalg.svd(y @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)
-    b.idf = idf
+    b.idf, b.df = idf, df
     b.basis = np.ascontiguousarray(basis[:, :rank], dtype=np.float32)
     return b
 

@@ -226,6 +226,14 @@ def test_leaks_and_paraphrases_are_found(spark, make):
     assert decontam.find_leaks(make([]).limit(0), bench).count() == 0
 
 
+def test_stop_words_come_from_all_rows(spark, make):
+    items = spark.createDataFrame([(1, "common rare alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string")
+    rows = [(i, "common filler") for i in range(600)] + [(1000 + i, "other words") for i in range(60_000)]
+    b = decontam.fit(make(rows).coalesce(1), decontam.read_benchmark(items))
+    word = b.find(decontam.word_hashes(Words(pa.array(["common"]))))[0]
+    assert b.df[word] == 600 and b.idf[word] == pytest.approx(math.log(60_601 / 600.5))
+
+
 def test_bit_parallel_lcs():
     r = random.Random(2)
     for _ in range(60):
