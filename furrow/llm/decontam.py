@@ -9,7 +9,9 @@
    matrix V (random mixtures of the benchmark's rows plus Gaussian columns), where ``A'A (D^-1 V) = D Y``. Partitions send
    partial sums of stripes of Y, which are added by stripe. The benchmark's own rows enter with the corpus's total weight, and
    the Nystroem form gives the leading ``RANK`` right singular vectors.
-3. *Search.* Every passage is projected and compared with all parts by cosine; candidates reach ``MIN_COSINE``.
+3. *Search.* Every passage is projected and compared with all parts by cosine; candidates reach ``MIN_COSINE``. Beside them stand
+   all pairs that share enough of the part's rarer words, or the rarest of its answer, to pass step 4: what the basis does not
+   hold (``RANK`` does not grow with the benchmark) is found all the same, and the result equals a full comparison.
 4. *Verify.* A bit-parallel longest common subsequence of part and passage (parts have at most 64 words, one machine word per
    candidate) and the same for the part's answer, its last ``ANSWER`` words. A part is found if the subsequence covers
    ``FOUND`` of it, or ``PARAPHRASE`` of it with the whole answer.
@@ -45,6 +47,9 @@ MIN_COSINE = 0.3
 FOUND = 0.75
 PARAPHRASE = 0.5
 ANSWER = 8
+#: Rarest words of an answer that a passage must hold; postings handled at a time.
+ANSWER_WORDS = 4
+MAX_POSTINGS = 1 << 21
 PARTS = 256
 MAX_ITEM_BYTES = 32 << 20
 STRIPE = 256
@@ -251,8 +256,8 @@ class _Searcher:
             word, n = np.unique(part, return_counts=True)
             weight[i] = ((1 + np.log(n)) * b.idf[word]).astype(np.float32) @ b.basis[word]
         norm = np.linalg.norm(weight, axis=1, keepdims=True)
-        self.plain = norm[:, 0] < 1e-6  # parts of stop words alone cannot be searched by cosine
         self.latent = weight / np.maximum(norm, 1e-6)
+        self._post()
         self.groups = []
         for lo in range(0, len(b.parts), PARTS):
             hi = min(lo + PARTS, len(b.parts))
@@ -265,6 +270,59 @@ class _Searcher:
             local[words] = np.arange(len(words))
             self.groups.append((lo, hi, local, mask))
 
+    def _post(self) -> None:
+        """Postings (word -> target, positions) of what a passage must share with a part to be a hit, rarest words first.
+
+        Target i: a subsequence of FOUND of part i misses few positions, so most of its rarer half must be there. Target
+        len(parts) + i: the whole answer must be there, so its rarest words."""
+        b, n = self.b, len(self.b.parts)
+        words, targets, counts, self.need = [], [], [], np.zeros(2 * n, dtype=np.int64)
+        for i, part in enumerate(b.parts):
+            miss = len(part) - int(np.ceil(FOUND * len(part)))
+            rare = part[np.argsort(b.df[part], kind="stable")[:max(miss + 1, (len(part) + 1) // 2)]]
+            answer = np.unique(part[-ANSWER:])
+            answer = answer[np.argsort(b.df[answer], kind="stable")[:ANSWER_WORDS]]
+            for target, x, need in ((i, rare, len(rare) - miss), (n + i, answer, len(answer))):
+                word, k = np.unique(x, return_counts=True)
+                words.append(word)
+                targets.append(np.full(len(word), target))
+                counts.append(k)
+                self.need[target] = need
+        word = np.concatenate(words)
+        order = np.argsort(word, kind="stable")
+        self.target, self.positions = np.concatenate(targets)[order], np.concatenate(counts)[order]
+        self.posted = np.bincount(word, minlength=len(b.vocabulary))
+        self.post = np.cumsum(self.posted) - self.posted
+
+    def sharing(self, ids: np.ndarray, block: np.ndarray, doc: np.ndarray, only: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first block, part) of every passage and part that share enough words to be a hit: none that could be one is left out."""
+        size, n = len(self.b.vocabulary), len(self.b.parts)
+        at = np.flatnonzero(ids >= 0)
+        at = at[self.posted[ids[at]] > 0]
+        key = np.sort(block[at] * size + ids[at])
+        key = key[np.diff(key, prepend=-1) != 0]
+        own = key // size
+        before = key[(own > 0) & (doc[own - 1] == doc[own])] - size  # the passage that starts one block earlier
+        key = np.sort(np.concatenate([key[only[own]], before]))
+        key = key[np.diff(key, prepend=-1) != 0]
+        own, word = key // size, key % size
+        total = np.cumsum(self.posted[word])
+        blocks, parts, lo = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        while lo < len(key):  # whole passages, a bounded number of postings at a time
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + MAX_POSTINGS, side="right"))
+            hi = int(np.searchsorted(own, own[hi])) if hi < len(key) else hi
+            hi = hi if hi > lo else int(np.searchsorted(own, own[lo], side="right"))
+            k = self.posted[word[lo:hi]]
+            i = np.repeat(self.post[word[lo:hi]] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+            x = np.sort(((np.repeat(own[lo:hi], k) * (2 * n) + self.target[i]) << 7) | self.positions[i])
+            head = np.flatnonzero(np.diff(x >> 7, prepend=-1))
+            pair = x[head] >> 7
+            pair = pair[np.add.reduceat(x & 127, head) >= self.need[pair % (2 * n)]]
+            blocks.append(pair // (2 * n))
+            parts.append(pair % (2 * n) % n)
+            lo = hi
+        return np.concatenate(blocks), np.concatenate(parts)
+
     def candidates(self, col: pa.Array) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
         """(words, vocabulary index per word, passage start word, part) of every candidate pair."""
         b = self.b
@@ -285,22 +343,16 @@ class _Searcher:
             only = np.ones(n_blocks, dtype=bool)
         norm = np.linalg.norm(pair, axis=1)
         at = np.flatnonzero(only & (norm > 0))
-        start = w.word_offs[doc[at]] + (at - first[doc[at]]) * BLOCK
-        starts, parts = [], []
+        blocks, parts = self.sharing(ids, block, doc, only)
+        keys = [blocks * len(b.parts) + parts]
         for lo in range(0, len(at), 8192):
             block_ids = at[lo:lo + 8192]
             near = pair[block_ids] @ self.latent.T >= MIN_COSINE * norm[block_ids][:, None]
-            p, i = np.nonzero(near & ~self.plain[None, :])
-            starts.append(start[lo:lo + 8192][p])
-            parts.append(i)
-        if self.plain.any():
-            every = np.flatnonzero(only)
-            begin = w.word_offs[doc[every]] + (every - first[doc[every]]) * BLOCK
-            i = np.flatnonzero(self.plain)
-            starts.append(np.repeat(begin, len(i)))
-            parts.append(np.tile(i, len(begin)))
-        cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
-        return w, ids, cat(starts), cat(parts)
+            p, i = np.nonzero(near)
+            keys.append(block_ids[p] * len(b.parts) + i)
+        key = np.unique(np.concatenate(keys))
+        at, part = key // len(b.parts), key % len(b.parts)
+        return w, ids, w.word_offs[doc[at]] + (at - first[doc[at]]) * BLOCK, part
 
     def verify(self, w: Words, ids: np.ndarray, start: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(common subsequence length, whole answer present) of every candidate."""

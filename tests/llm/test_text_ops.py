@@ -234,6 +234,34 @@ def test_stop_words_come_from_all_rows(spark, make):
     assert b.df[word] == 600 and b.idf[word] == pytest.approx(math.log(60_601 / 600.5))
 
 
+def test_no_leak_is_missed_with_many_parts(spark, make):
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(vocab[int(400 * r.random() ** 2)] for _ in range(n))
+    items = [(i, text(r.choice([1, 2, 5, 9, 16, 30, 64, 90]))) for i in range(300)]
+    rows = []
+    for i in range(300):
+        w = items[i][1].split()
+        if i % 2:
+            w = [x for k, x in enumerate(w) if k >= len(w) - 8 or r.random() < 0.6]
+        rows.append((i, " ".join([text(r.randrange(150)), *w, text(r.randrange(150))])))
+    docs = make(rows)
+    b = decontam.fit(docs, decontam.read_benchmark(spark.createDataFrame(items, "item_id long, text string")))
+    s = decontam._Searcher(b)
+    col = pa.array([t for _, t in rows])
+    got = set(zip(*[x.tolist() for x in s.find(col)[:2]], strict=True))
+    w, ids, block, first = decontam._blocks(b, col)
+    want = set()
+    for d in range(len(rows)):
+        starts = w.word_offs[d] + np.arange(max(1, first[d + 1] - first[d] - 1)) * decontam.BLOCK
+        start, part = np.repeat(starts, len(b.parts)), np.tile(np.arange(len(b.parts)), len(starts))
+        common, answer = s.verify(w, ids, start, part)
+        share = common / s.lengths[part]
+        hit = (share >= decontam.FOUND) | ((share >= decontam.PARAPHRASE) & answer)
+        want |= {(d, int(b.items[p])) for p in part[hit]}
+    assert len(b.parts) > 300 and len(want) > 300 and got == want
+
+
 def test_bit_parallel_lcs():
     r = random.Random(2)
     for _ in range(60):
