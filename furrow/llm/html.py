@@ -39,11 +39,14 @@ _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
-RAW = {"script", "style", "title", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "audio", "video", "textarea",
+RAW = {"script", "style", "title", "noscript", "template", "iframe", "object", "svg", "canvas", "audio", "video", "textarea",
        "select", "datalist"}
+#: Of these, the ones whose text runs to the end of the page if the end tag is missing.
+TO_END = {"script", "style", "textarea"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q",
-          "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+          "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var",
+          *"math mi mn mo mrow msup msub msubsup mfrac msqrt mroot mtext mstyle mover munder munderover mfenced semantics".split()}
 # An opening tag of the first set closes an open element of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}, "body": {"head"}}
@@ -159,7 +162,14 @@ class Page:
             if name in RAW:
                 if not attrs.endswith("/"):
                     close = re.compile(f"</{name}\\s*>", re.I).search(html, pos) if name not in _CLOSE else _CLOSE[name].search(html, pos)
-                    pos = close.end() if close else n
+                    if close:
+                        pos = close.end()
+                    elif name in TO_END:
+                        pos = n
+                    else:  # it ends with its parent; without that, only the tag itself is passed over
+                        within = {x for x, _ in stack[1:]}
+                        ends = (m.start() for m in _TAG.finditer(html, pos) if m[1] and m[2] and m[2].lower() in within)
+                        pos = next(ends, pos)
                 continue
             if name in VOID:
                 if name in ("br", "hr"):

@@ -195,6 +195,14 @@ def test_html_of_the_pages_table(spark, sf):
         assert r.text == " ".join(std.unescape(body).split()) and r.n_chars == len(r.text)
 
 
+def test_unclosed_elements_end_with_their_parent():
+    read = lambda x: " ".join(t for _, t in html.Page(f"<html><body><article>{x}</article></body></html>").runs)
+    for name in ("svg", "noscript", "object", "canvas", "audio", "video", "select"):
+        assert read(f"<div>one <{name}>gone</div><p>two</p>") == "one two"
+    assert read("<p>one</p><style>gone<p>two</p>") == "one"
+    assert read("<p>sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> here</p>") == "sum x+1 here"
+
+
 # decontamination ----------------------------------------------------------------------------------------------------
 
 def test_leaks_and_paraphrases_are_found(spark, make):
