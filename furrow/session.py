@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -61,3 +61,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/furrow-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written once to the shared folder and read from there: survives lost executors, cuts lineage."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(*frames: DataFrame) -> None:
+    """Removes the scratch tables that frames of :func:`written` read; call it once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        base = ensure_checkpoint_dir(spark).rstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.startswith(base) or folder.replace("file:///", "file:/").startswith(base):
+                drop_path(spark, folder)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, whatever file system holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
