@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, decontam, html, language, lm, nearcopies, pieces, quality, sharding, substring
+from furrow.llm import chat, decontam, html, language, lm, nearcopies, pieces, quality, sharding, substring, variants
+from furrow.session import drop_scratch, written
 from furrow.sources.tables import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -180,3 +181,44 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_decontaminate")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# DuckDB has no CRC-32: the byte table from its polynomial, folded over the UTF-8 bytes of a string.
+OP11_SQL = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
+             lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+run AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS k
+        FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS r FROM documents)
+        WHERE length(r) >= 7 GROUP BY ALL),
+byte AS (SELECT doc_id, r, k, hex(encode(coalesce(doc_id::VARCHAR, 'null') || ':' || r)) AS x FROM run),
+sum AS (SELECT r, k, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+                 list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)),
+                 lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS h FROM byte, t),
+word AS (SELECT CASE WHEN h % 31 = 0 THEN left(r, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word, k FROM sum),
+w AS (SELECT word, sum(k)::BIGINT AS n FROM word WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+hole AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pair AS (SELECT a.word, b.word AS other, b.n AS m FROM hole a JOIN hole b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+         UNION SELECT hole.word, w.word, w.n FROM hole JOIN w ON w.word = hole.rest
+         UNION SELECT w.word, hole.word, hole.n FROM hole JOIN w ON w.word = hole.rest),
+best AS (SELECT word, count(*) AS n_near, min({'m': -m, 'w': encode(other)}) AS b FROM pair GROUP BY word),
+form AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -b.m >= 10 * n THEN decode(b.w) END AS form,
+                CASE WHEN -b.m >= 10 * n THEN -b.m END::BIGINT AS form_n FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS cur, 0 AS d FROM form UNION ALL SELECT walk.word, f.form, d + 1 FROM walk JOIN form f ON f.word = walk.cur WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN (SELECT word, arg_max(cur, d) AS root FROM walk GROUP BY word) USING (word)
+"""
+
+
+def misspelt(doc_id: Column, run: Column) -> Column:
+    """The run, less one letter where a checksum of document and run says so."""
+    h = F.crc32(F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), run).cast("binary"))
+    at = (h % F.length(run)).cast("int")
+    return F.when(h % 31 == 0, F.concat(F.substring(run, F.lit(1), at), F.substring(run, at + 2, F.length(run)))).otherwise(run)
+
+
+@query("op11_spelling_variants", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = variants.runs(table(spark, sf_dir, "documents"), 7)
+    words = written(variants.count_words(rows, misspelt(F.col("doc_id"), F.col("run")), 7, 2), "words")
+    out = variants.group(words, ratio=10)
+    drop_scratch(words)
+    return out
