@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, decontam, html, language, lm, nearcopies, pieces, quality, sharding, substring, variants
+from furrow.llm import chat, decontam, html, language, lm, nearcopies, pieces, quality, sharding, substring, variants, whitening
 from furrow.session import drop_scratch, written
 from furrow.sources.tables import table
 
@@ -222,3 +222,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = variants.group(words, ratio=10)
     drop_scratch(words)
     return out
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), k=4)

@@ -1,12 +1,10 @@
 """Spelling variants against brute force."""
 
 import collections
-import itertools
 import random
 import re
 import zlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from furrow.llm import variants
