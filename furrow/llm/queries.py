@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import chat, decontam, html, language, lm, nearcopies, pieces, quality, sharding, substring, variants, whitening
-from furrow.session import drop_scratch, written
+from furrow.llm import chat, decontam, html, language, lm, nearcopies, pieces, quality, sharding, substring, tokenfiles, variants, whitening
+from furrow.session import drop_scratch, scratch_path, written
 from furrow.sources.tables import table
 
 Builder = Callable[[SparkSession, str], DataFrame]
@@ -224,6 +224,17 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+TOKENIZER, END_ID = "byte_bpe_50k.json", 2
+
+
+@query("op12_token_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    index = tokenfiles.write_tokens(table(spark, sf_dir, "documents"), scratch_path(spark, "tokens"), public_tokenizers.path(TOKENIZER), END_ID)
+    return tokenfiles.read_documents(index)
+
+
 @query("op13_embedding_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"), k=4)
