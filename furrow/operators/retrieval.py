@@ -1,120 +1,153 @@
-"""Exact k-nearest-neighbour retrieval, relevance gate, sources and context.
-
-Distance is squared L2 (the store's default; for unit vectors 2 - 2 cos).
-
-``knn`` is exact and avoids a queries x documents cross join:
-
-1. ``n_pivots`` documents (lowest seeded hash) become pivots: a bounded top-k
-   (n_pivots x dim numbers, shipped to the tasks like a model parameter).
-2. Every document is assigned to its nearest pivot (a cell) by a vectorised
-   map-side step. Per cell: radius and count.
-3. For each query, the triangle inequality gives, per cell, a lower bound
-   ``d(q,p) - r`` and an upper bound ``d(q,p) + r`` on the distance of any
-   document in it. Walking cells by upper bound until ``k`` documents are
-   covered gives an upper bound on the k-th distance; cells whose lower bound
-   exceeds it cannot hold a neighbour and are skipped.
-4. (query, candidate cell) pairs are equi-joined with documents on the cell
-   id; top-k per query uses ``row_number`` (planned with a partial
-   ``WindowGroupLimit`` before the shuffle).
-
-On clustered embeddings most cells are skipped; on near-orthogonal random
-vectors the bounds cannot prune and the join degenerates to all pairs.
+"""Exact nearest-neighbour retrieval, relevance gate, sources and context.
+
+``knn`` is exact and compares a query only with the parts of the store that can hold one of its neighbours:
+
+1. About sqrt(N) pivots (fewer for a small store; the rows of lowest seeded hash; N is read off the hashes) split the store into cells, each cell into rings
+   by distance from its pivot. The store's (id, vector) is read for the pivots and once more to write it in packed blocks, by ring.
+2. Queries with equal vectors are one. They are packed by their own nearest pivot, so the queries of a block open the same rings.
+3. A first pass opens each query's home rings and fixes its k-th distance; a second opens only rings whose lower bound
+   (triangle inequality) does not exceed it. Both are equi-joins on (cell, ring) of packed blocks; a matrix product finds the
+   candidates of a block pair, and their distances are summed left to right in double.
+4. Top-k per query by ``row_number``; document columns are joined to the hits alone and never pass through Python.
+
+On clustered embeddings most rings stay closed; on near-orthogonal random vectors bounds cannot prune and all blocks meet.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from furrow.functions.hashing import h32
-from furrow.functions.vectors import sq_l2
-from furrow.operators.barrier import barrier
-
-#: Rounding allowance of the pruning bound, relative to the distances compared.
-EPS = 1e-9
+from furrow.operators.vecblocks import EPS, Directory, assign, cut_rings, exact_top, pack, pick_pivots, whole_vectors
+from furrow.session import drop_scratch, written
 
 
-def _pivot_row(docs: DataFrame, n_pivots: int, seed: int) -> DataFrame:
-    piv = docs.select(h32("pivot", seed, F.col("did")).alias("h"), "did", "dvec") \
-        .orderBy("h", "did").limit(n_pivots)
-    return piv.agg(F.array_sort(F.collect_list(F.struct("h", "did", F.col("dvec").alias("pvec")))).alias("pivots"))
-
+def _pairs(qblocks: DataFrame, choose) -> DataFrame:
+    """(qb, cell, ring): rings that a query block opens; ``choose(x, batch row)`` gives a mask over the directory."""
+    def run(batches):
+        for batch in batches:
+            for i, qb in enumerate(batch.column("qb").to_pylist()):
+                cell, ring = choose(batch, i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), qb)), pa.array(cell.astype(np.int32)),
+                                                  pa.array(ring.astype(np.int32))], ["qb", "cell", "ring"])
 
-def _pivot_matrix(pivots: DataFrame):
-    """The pivot vectors as a numpy matrix: at most n_pivots x dim numbers (a model-sized parameter)."""
-    import numpy as np
-    row = pivots.first()
-    return np.array([np.asarray(p["pvec"], dtype=float) for p in row["pivots"]])
+    return qblocks.mapInArrow(run, "qb long, cell int, ring int")
 
 
-def _with_pivot_distances(df: DataFrame, vec: str, pmat, out: str, squared: bool) -> DataFrame:
-    """Append the distances of ``vec`` to every pivot (numpy, vectorised per Arrow batch)."""
-    import numpy as np
-    schema = df.schema.simpleString()[len("struct<"):-1] + f",{out}:array<double>"
+def _compare(pairs: DataFrame, qblocks: DataFrame, blocks: DataFrame, dim: int, need: int) -> DataFrame:
+    """(qb, vid, did, distance): each query's nearest rows of each opened block."""
+    both = (pairs.join(blocks.select("cell", "ring", F.col("ids").alias("dids"), F.col("x").alias("dx")), ["cell", "ring"])
+            .join(qblocks.select("qb", F.col("ids").alias("vids"), F.col("x").alias("qx")), "qb").select("qb", "vids", "qx", "dids", "dx"))
+    kinds = [both.schema[c].dataType.elementType for c in ("vids", "dids")]
+    schema = T.StructType([T.StructField("qb", T.LongType()), T.StructField("vid", kinds[0]), T.StructField("did", kinds[1]),
+                           T.StructField("distance", T.DoubleType())])
 
     def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            x = np.stack([np.asarray(v, dtype=float) for v in pdf[vec]])
-            acc = np.zeros((len(x), len(pmat)))
-            for j in range(x.shape[1]):
-                diff = x[:, j][:, None] - pmat[:, j][None, :]
-                acc = acc + diff * diff
-            pdf[out] = list(acc if squared else np.sqrt(acc))
-            yield pdf
-
-    return df.mapInPandas(run, schema)
-
-
-def assign_cells(docs: DataFrame, pivots: DataFrame, pmat=None) -> DataFrame:
-    pmat = _pivot_matrix(pivots) if pmat is None else pmat
-    d = barrier(_with_pivot_distances(docs, "dvec", pmat, "_dp", squared=True))
-    return d.select("*", (F.array_position("_dp", F.array_min("_dp")) - 1).cast("int").alias("cell"),
-                    F.sqrt(F.array_min("_dp")).alias("_r")).drop("_dp")
-
-
-def knn(queries: DataFrame, docs: DataFrame, k: int = 3, exclude_self: bool = False,
-        n_pivots: int = 32, seed: int = 7, strategy: str = "blocks", block_size: int = 256) -> DataFrame:
-    """Exact top-k by squared L2.
-
-    queries: (qid, qvec ARRAY<DOUBLE>); docs: (did, dvec ARRAY<DOUBLE>, ...).
-    Output: (qid, rank, did, distance, <doc columns>). With ``exclude_self``
-    a document never matches the query of the same id.
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                q, d = (np.frombuffer(batch.column(c)[i].as_py()).reshape(-1, dim) for c in ("qx", "dx"))
+                vids, dids = batch.column("vids")[i].values, batch.column("dids")[i].values
+                row, col, dist = exact_top(q, d, dids.to_numpy(zero_copy_only=False), need)
+                found.append((np.full(len(row), batch.column("qb")[i].as_py()), vids.take(pa.array(row)), dids.take(pa.array(col)), dist))
+            if found:
+                qb, vid, did, dist = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(qb)), pa.concat_arrays(vid), pa.concat_arrays(did),
+                                                  pa.array(np.concatenate(dist))], schema.names)
+
+    return both.mapInArrow(run, schema)
+
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("vid").orderBy("distance", "did")
+    return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _nearest(queries: DataFrame, rows: DataFrame, need: int, seed: int, n_pivots: int | None) -> DataFrame | None:
+    """(vid, did, distance, rank) of the `need` nearest rows of each query vector; None for an empty store."""
+    cells = pick_pivots(rows, seed, n_pivots)
+    if cells is None:
+        return None
+    assigned = written(assign(rows, cells), "knn-rows")
+    cells = cut_rings(assigned, cells)
+    blocks = written(pack(assigned, cells), "knn-blocks")
+    directory = Directory.of(blocks)
+    asked = written(assign(queries, cells), "knn-asked")
+    sizes = cut_rings(asked, cells, rings=1)  # queries are packed by cell alone
+    qblocks = written(pack(asked, sizes).select(F.monotonically_increasing_id().alias("qb"), "ids", "x"), "knn-queries")
+    dim = cells.dim
+
+    def home(batch, i):
+        x = np.frombuffer(batch.column("x")[i].as_py()).reshape(-1, dim)
+        mask = np.zeros(len(directory.n), dtype=bool)
+        for lo in range(0, len(x), 64):
+            mask |= directory.home(x[lo:lo + 64], cells, need).any(axis=0)
+        return x, mask
+
+    def first(batch, i):
+        mask = home(batch, i)[1]
+        return directory.cell[mask], directory.ring[mask]
+
+    def second(batch, i):
+        x, opened = home(batch, i)
+        bound = dict(zip(batch.column("vids")[i].as_py(), batch.column("far")[i].as_py()))
+        far = np.sqrt([bound.get(v, np.inf) for v in batch.column("ids")[i].as_py()])
+        mask = np.zeros(len(directory.n), dtype=bool)
+        for lo in range(0, len(x), 64):
+            mask |= (directory.bounds(x[lo:lo + 64], cells)[0] <= far[lo:lo + 64, None] * (1 + EPS)).any(axis=0)
+        mask &= ~opened
+        return directory.cell[mask], directory.ring[mask]
+
+    near = written(_compare(_pairs(qblocks.select("qb", "x"), first), qblocks, blocks, dim, need), "knn-near")
+    far = (_best(near, need).groupBy("qb", "vid").agg(F.max("distance").alias("far"), F.count(F.lit(1)).alias("n")).where(F.col("n") == need)
+           .groupBy("qb").agg(F.collect_list("vid").alias("vids"), F.collect_list("far").alias("far")))  # at most a block's queries
+    empty = qblocks.schema["ids"].dataType
+    known = qblocks.join(far, "qb", "left").select("qb", "ids", "x", F.coalesce("vids", F.array().cast(empty)).alias("vids"),
+                                                   F.coalesce("far", F.array().cast("array<double>")).alias("far"))
+    more = _compare(_pairs(known, second), qblocks, blocks, dim, need)
+    out = written(_best(near.unionByName(more).drop("qb"), need), "knn-hits")
+    drop_scratch(assigned, blocks, asked, qblocks, near)
+    return out
+
+
+def knn(queries: DataFrame, docs: DataFrame, k: int = 3, exclude_self: bool = False, n_pivots: int | None = None, seed: int = 7,
+        metric: str = "l2sq", share_equal: bool = True) -> DataFrame:
+    """Exact top-k.
+
+    queries: (qid, qvec ARRAY<DOUBLE>); docs: (did, dvec ARRAY<DOUBLE>, ...). Output: (qid, rank, did, distance, <doc columns>).
+    ``metric``: ``l2sq`` (squared L2) or ``cosine`` (1 - cos; zero vectors have no distance). With ``exclude_self`` a document never
+    matches the query of the same id. With ``share_equal`` equal query vectors are searched once. Rows without a finite vector of
+    the store's length have no distance and no neighbours.
     """
-    docs = docs.filter(F.col("dvec").isNotNull())  # documents without a vector have no distance
-    pivots = _pivot_row(docs, n_pivots, seed)
-    pmat = _pivot_matrix(pivots)
-    cells_docs = assign_cells(docs, pivots, pmat)
-    cells = cells_docs.groupBy("cell").agg(F.max("_r").alias("radius"), F.count(F.lit(1)).alias("n"))
-    # At most n_pivots rows: safe to gather into one broadcast row.
-    cell_row = cells.agg(F.collect_list(F.struct("cell", "radius", "n")).alias("cells"))
+    if metric not in ("l2sq", "cosine"):
+        raise ValueError(f"unknown metric {metric!r}")
+    unit = metric == "cosine"
+    rows = whole_vectors(docs, "did", "dvec", unit)
+    asked = whole_vectors(queries, "qid", "qvec", unit)
     need = k + 1 if exclude_self else k
-
-    q = _with_pivot_distances(queries.filter(F.col("qvec").isNotNull()).select("qid", "qvec"), "qvec", pmat,
-                              "_dq", squared=False)
-    q = barrier(q.crossJoin(F.broadcast(cell_row)).select("qid", "qvec", "_dq", "cells"))
-    bounds = F.transform(F.col("cells"), lambda c: F.struct(
-        (F.element_at(F.col("_dq"), c["cell"] + 1) + c["radius"]).alias("ub"),
-        F.greatest(F.element_at(F.col("_dq"), c["cell"] + 1) - c["radius"], F.lit(0.0)).alias("lb"),
-        c["cell"].alias("cell"), c["n"].alias("n")))
-    q = barrier(q.select("qid", "qvec", F.array_sort(bounds).alias("_b")))
-    walk = F.aggregate(
-        F.col("_b"), F.struct(F.lit(0).cast("long").alias("cum"), F.lit(None).cast("double").alias("ubk")),
-        lambda acc, c: F.struct((acc["cum"] + c["n"]).alias("cum"),
-                                F.coalesce(acc["ubk"], F.when(acc["cum"] + c["n"] >= need, c["ub"])).alias("ubk")))
-    q = barrier(q.select("qid", "qvec", "_b", F.coalesce(walk["ubk"], F.lit(float("inf"))).alias("_ubk")))
-    cand = q.select("qid", "qvec", F.explode(F.filter(F.col("_b"), lambda c: c["lb"] <= F.col("_ubk") * (1 + EPS) + EPS))
-                    .alias("_c")).select("qid", "qvec", F.col("_c.cell").alias("cell"))
-
-    if strategy == "blocks":
-        return _block_pairs(cand, cells_docs.drop("_r"), cells, k, exclude_self, block_size, seed)
-    pairs = cand.join(cells_docs.drop("_r"), "cell")
-    if exclude_self:
-        pairs = pairs.filter(F.col("qid") != F.col("did"))
-    pairs = pairs.withColumn("distance", sq_l2(F.col("qvec"), F.col("dvec"))).drop("qvec", "dvec", "cell")
-    w = Window.partitionBy("qid").orderBy("distance", "did")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    distinct = asked.groupBy("vec").agg(F.min("id").alias("id")).select("id", "vec") if share_equal else asked
+    if share_equal:
+        distinct = written(distinct, "knn-distinct")
+    hits = _nearest(distinct, rows, need, seed, n_pivots)
+    extra = [c for c in docs.columns if c not in ("did", "dvec")]
+    if hits is None:
+        kind = T.StructType([queries.schema["qid"], T.StructField("rank", T.IntegerType()), docs.schema["did"], T.StructField("distance", T.DoubleType()),
+                             *[docs.schema[c] for c in extra]])
+        return queries.sparkSession.createDataFrame([], kind)
+    if share_equal:
+        hits = asked.withColumnRenamed("id", "qid").join(distinct.select("vec", F.col("id").alias("vid")), "vec").drop("vec").join(hits, "vid")
+    hits = hits.withColumnRenamed("vid", "qid") if not share_equal else hits.drop("vid")
+    if exclude_self:  # at most one of the k + 1 is the query itself
+        gone = F.max(F.when(F.col("qid") == F.col("did"), F.col("rank"))).over(Window.partitionBy("qid"))
+        hits = (hits.withColumn("_self", gone).where(~F.equal_null(F.col("rank"), F.col("_self")))
+                .withColumn("rank", F.col("rank") - F.when(F.col("rank") > F.col("_self"), 1).otherwise(0)).where(F.col("rank") <= k))
+    if unit:
+        hits = hits.withColumn("distance", F.col("distance") / 2)
+    hits = hits.select("qid", "rank", "did", "distance")
+    return hits.join(docs.select("did", *extra), "did", "left").select("qid", "rank", "did", "distance", *extra) if extra else hits
 
 
 def gate(hits: DataFrame, queries: DataFrame, threshold: float) -> DataFrame:
@@ -145,61 +178,3 @@ def context(hits: DataFrame, threshold: float) -> DataFrame:
                      F.coalesce(F.col("topic"), F.col("did").cast("string")), F.lit("]\n"), F.col("text"))
     g = s.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("_l"))
     return g.select("qid", F.array_join(F.transform("_l", lambda x: x["b"]), "\n\n").alias("context"))
-
-
-def _block_pairs(cand: DataFrame, cells_docs: DataFrame, cells: DataFrame, k: int, exclude_self: bool,
-                 block_size: int, seed: int) -> DataFrame:
-    """Distances between candidate queries and the documents of their cells, block by block.
-
-    Documents of a cell are hashed into sub-blocks of about ``block_size``;
-    the candidate queries of a cell into chunks of about ``block_size``. Each
-    (query chunk, document block) pair meets in one equi-join row on the cell
-    id and numpy computes its distance matrix (dimensions summed left to
-    right, as the SQL form does), emitting only each query's k best of the
-    block. Blocks are bounded, so no task holds a whole hot cell.
-    """
-    import numpy as np
-    import pandas as pd
-
-    extra = [c for c in cells_docs.columns if c not in ("did", "dvec", "cell")]
-    n_sub = cells.select("cell", F.greatest(F.ceil(F.col("n") / block_size), F.lit(1)).alias("_ns"))
-    d = cells_docs.join(F.broadcast(n_sub), "cell")  # one row per cell (<= n_pivots): bounded
-    d = d.withColumn("_sub", F.pmod(h32("blk", seed, F.col("did")), F.col("_ns")))
-    dblocks = d.groupBy("cell", "_sub").agg(F.collect_list(F.struct("did", "dvec")).alias("_docs"))
-    qn = cand.groupBy("cell").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block_size), F.lit(1)).alias("_nq"))
-    q = cand.join(qn, "cell").withColumn("_qs", F.pmod(h32("qblk", seed, F.col("qid")), F.col("_nq")))
-    qblocks = q.groupBy("cell", "_qs").agg(F.collect_list(F.struct("qid", "qvec")).alias("_qs_rows"))
-    pairs = qblocks.join(dblocks, "cell").select("_qs_rows", "_docs")
-    qid_type = cand.schema["qid"].dataType.simpleString()
-    did_type = cells_docs.schema["did"].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for qs, ds in zip(pdf["_qs_rows"], pdf["_docs"]):
-                qids = np.array([r["qid"] for r in qs])
-                qv = np.stack([np.asarray(r["qvec"], dtype=float) for r in qs])
-                dids = np.array([r["did"] for r in ds])
-                dv = np.stack([np.asarray(r["dvec"], dtype=float) for r in ds])
-                acc = np.zeros((len(qids), len(dids)))
-                for j in range(qv.shape[1]):
-                    diff = qv[:, j][:, None] - dv[:, j][None, :]
-                    acc = acc + diff * diff
-                if exclude_self:
-                    acc[qids[:, None] == dids[None, :]] = np.inf
-                kk = min(k, len(dids))
-                # Per query: k smallest by (distance, did), all rows of the block at once.
-                order = np.lexsort((np.broadcast_to(dids, acc.shape), acc), axis=-1)[:, :kk]
-                dist = np.take_along_axis(acc, order, axis=1)
-                keep = np.isfinite(dist)
-                out.append(pd.DataFrame({"qid": np.repeat(qids, kk)[keep.reshape(-1)],
-                                         "did": dids[order][keep], "distance": dist[keep]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    best = pairs.mapInPandas(run, f"qid {qid_type}, did {did_type}, distance double")
-    w = Window.partitionBy("qid").orderBy("distance", "did")
-    top = best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    if extra:
-        top = top.join(cells_docs.select("did", *extra), "did", "left")
-    return top

@@ -10,6 +10,7 @@ from furrow.operators import chat, retrieval
 from furrow.plans.q_text import sql_intent, sql_params
 from furrow.plans.registry import register
 from furrow.plans.sqlfrag import Raw, h32, with_views
+from furrow.session import written
 from furrow.sources import fixtures as fx
 
 K = 3
@@ -29,7 +30,7 @@ def kb_queries(spark, sf):
 
 
 def kb_hits(spark, sf, exclude_self=True, k=K):
-    return retrieval.knn(kb_queries(spark, sf), kb_docs(spark, sf), k=k, exclude_self=exclude_self)
+    return retrieval.knn(kb_queries(spark, sf), kb_docs(spark, sf), k=k, exclude_self=exclude_self, share_equal=False)
 
 
 def _sql_sqdist(a, b):
@@ -102,14 +103,15 @@ def _sql_embedding(col):
 
 
 def routed(spark, sf):
-    """Messages with intent, routing mode and (for the general ones) best store distance."""
+    """Messages with intent, routing mode and (for the general ones) best store distance; and the hits by text.
+
+    A text's route depends on the text alone, so every distinct text is encoded and searched once (its query id is the text)."""
     m = fx.messages(spark, sf).withColumn("intent", tx.detect_intent(F.col("text")))
-    m = m.withColumn("qid", F.concat_ws(":", "src", F.col("msg_id").cast("string"), F.col("turn").cast("string")))
-    general = with_hashed_embedding(m.filter(F.col("intent") == "general").select("qid", "text"), "text", "qvec") \
-        .select("qid", "qvec")
+    texts = m.filter((F.col("intent") == "general") & F.col("text").isNotNull()).select(F.col("text").alias("qid")).distinct()
+    general = written(with_hashed_embedding(texts, "qid", "qvec"), "route-texts")
     hits = retrieval.knn(general, kb_docs(spark, sf), k=K)
     g = retrieval.gate(hits, general, ROUTE_THRESHOLD)
-    j = m.join(g, "qid", "left")
+    j = m.join(g.withColumnRenamed("qid", "text"), "text", "left")
     mode = F.when(F.col("intent") != "general", F.lit("ml_model")).when(F.col("use_rag"), F.lit("rag")) \
         .otherwise(F.lit("general"))
     return j.withColumn("mode", mode), hits
@@ -131,8 +133,8 @@ FROM m LEFT JOIN g ON m.qid = g.qid"""
 @register("route_message", _ROUTE_SQL, ops="K7 K1 C13 L1")
 def route_message(spark, sf):
     r, _ = routed(spark, sf)
-    return r.select("src", "msg_id", "turn", "intent", "mode",
-                    F.when(F.col("intent") == "general", F.col("best_distance")).alias("best_distance"))
+    best = F.when(F.col("intent") == "general", F.coalesce("best_distance", F.lit(999.0)))
+    return r.select("src", "msg_id", "turn", "intent", "mode", best.alias("best_distance"))
 
 
 # ---- encoder and approximate join ---------------------------------------------------
@@ -181,7 +183,7 @@ def build_prompt(spark, sf):
     hist = chat.history_text(fx.chat(spark, sf)).select(
         F.lit("chat").alias("src"), F.col("conv_id").alias("msg_id"), F.col("turn").cast("long").alias("turn"), "history")
     p = tx.extract_params(F.col("text"))
-    j = r.join(ctx, "qid", "left").join(hist, ["src", "msg_id", "turn"], "left") \
+    j = r.join(ctx.withColumnRenamed("qid", "text"), "text", "left").join(hist, ["src", "msg_id", "turn"], "left") \
         .withColumn("history", F.coalesce("history", F.lit(""))).withColumn("p", p)
     dec = lambda c: F.coalesce(c.cast("decimal(18,2)").cast("string"), F.lit("?"))
     model_ctx = F.concat(F.lit("[MODEL INPUT - "), F.col("intent"), F.lit("]\nN="), dec(F.col("p.N")), F.lit(", P="),
