@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from furrow.functions import text as tx
 from furrow.functions.vectors import as_double, with_hashed_embedding
-from furrow.operators import chat, retrieval
+from furrow.operators import chat, ivf, retrieval
 from furrow.plans.q_text import sql_intent, sql_params
 from furrow.plans.registry import register
 from furrow.plans.sqlfrag import Raw, h32, with_views
-from furrow.session import written
+from furrow.session import scratch_path, written
 from furrow.sources import fixtures as fx
 
 K = 3
@@ -175,6 +175,33 @@ def knn_lsh(spark, sf):
                  F.round(F.avg((F.col("approx_did") == F.col("exact_did")).cast("double")), 4).alias("recall_at_1"))
 
 
+def ivf_hits(spark, sf):
+    """Stores an inverted-file index of all rows, loads it and searches it for every row whose id is divisible by 20."""
+    path = scratch_path(spark, "ivf")
+    ivf.build(kb_docs(spark, sf), path, k=K)
+    return ivf.search(*ivf.load(spark, path), kb_queries(spark, sf).where("qid % 20 = 0"), k=K, exclude_self=True)
+
+
+@register("knn_ivf", None, ops="K3")
+def knn_ivf(spark, sf):
+    """Approximate neighbours, with the rows looked at by code and by exact distance for each query."""
+    hits, work = ivf_hits(spark, sf)
+    return hits.join(work, "qid").select("qid", "rank", "did", F.round("distance", 6).alias("distance"), "coded", "compared")
+
+
+@register("knn_ivf_recall", with_views("kb") + f"""
+, q AS (SELECT count(*) AS n FROM kb WHERE id % 20 = 0 AND embedding IS NOT NULL),
+d AS (SELECT count(*) AS n FROM kb WHERE embedding IS NOT NULL)
+SELECT q.n AS n_queries, CAST(q.n * least({K}, d.n - 1) AS BIGINT) AS n_neighbours, true AS recall_reached FROM q, d""", ops="K3")
+def knn_ivf_recall(spark, sf):
+    """Whether the index finds at least nine tenths of the exact neighbours (ids divisible by 20 against all rows)."""
+    hits, _ = ivf_hits(spark, sf)
+    exact = retrieval.knn(kb_queries(spark, sf).where("qid % 20 = 0"), kb_docs(spark, sf), k=K, exclude_self=True, share_equal=False)
+    j = exact.select("qid", "did").join(hits.select("qid", "did", F.lit(1).alias("hit")), ["qid", "did"], "left")
+    return j.agg(F.count_distinct("qid").alias("n_queries"), F.count(F.lit(1)).alias("n_neighbours"),
+                 (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
 @register("build_prompt", None, ops="C18 K7 H7")
 def build_prompt(spark, sf):
     """Prompt per routed message: model result / retrieved documents / general, with chat history."""

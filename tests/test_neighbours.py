@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from furrow.operators import retrieval, vecblocks
+from furrow.operators import ivf, retrieval, vecblocks
 
 
 def frame(spark, rows, names):
@@ -86,3 +86,40 @@ def test_clustered_queries_open_few_rings():
     far = np.sort(true, axis=1)[:, 3]
     opened = low <= far[:, None]
     assert (opened * d.n).sum() < 0.1 * 200 * len(x)
+
+
+def recall(hits, want):
+    got = {}
+    for r in hits.collect():
+        got.setdefault(r.qid, set()).add(r.did)
+    return np.mean([d in got.get(q, ()) for q, v in want.items() for _, d in v])
+
+
+def test_ivf_on_clusters_compares_few_pairs(spark, tmp_path):
+    rows = list(enumerate(clusters(4000, 16, 50, 5, 0.3).tolist()))
+    ivf.build(frame(spark, rows, "did long, dvec array<double>"), str(tmp_path / "index"))
+    q, blocks = ivf.load(spark, str(tmp_path / "index"))
+    assert blocks.agg({"n": "sum"}).first()[0] == len(rows) and len(q.centroids) == 63
+    asked = rows[::20]
+    hits, work = ivf.search(q, blocks, frame(spark, asked, "qid long, qvec array<double>"), k=3, exclude_self=True)
+    want = brute(asked, rows, 3, True)
+    assert recall(hits, want) >= 0.9
+    w = work.collect()
+    assert len(w) == len(asked) and sum(r.coded for r in w) < 0.1 * len(asked) * len(rows) and all(r.compared <= r.coded for r in w)
+    true = {(q_, d): v for q_, found in want.items() for v, d in found}
+    assert all(r.distance == pytest.approx(true[r.qid, r.did], abs=1e-9) for r in hits.collect() if (r.qid, r.did) in true)
+
+
+def test_ivf_edges(spark, tmp_path):
+    docs = frame(spark, [(1, [0, 0, 1]), (2, None), (3, [0, 2, 0]), (4, [float("nan"), 0, 0]), (5, [0, 0, 1])], "did long, dvec array<double>")
+    asked = frame(spark, [(1, [0, 0, 1]), (9, None), (8, [1.0])], "qid long, qvec array<double>")
+    ivf.build(docs, str(tmp_path / "a"))
+    hits, _ = ivf.search(*ivf.load(spark, str(tmp_path / "a")), asked, k=3)
+    assert [(r.qid, r.did, r.distance) for r in hits.orderBy("rank").collect()] == [(1, 1, 0.0), (1, 5, 0.0), (1, 3, 5.0)]
+    ivf.build(docs.limit(0), str(tmp_path / "b"))
+    assert ivf.load(spark, str(tmp_path / "b")) == (None, None)
+
+
+def test_kmeans_restarts_empty_clusters():
+    x = np.repeat([[0.0, 0], [5, 5], [9, 0]], [50, 3, 1], axis=0)
+    assert sorted(map(tuple, ivf.kmeans(x, 8, 0).tolist())) == [(0, 0), (5, 5), (9, 0)]
