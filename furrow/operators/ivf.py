@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.operators import vecblocks
-from furrow.operators.vecblocks import Cells, exact_top, lowest_hashed, pack, vectors, whole_vectors
+from furrow.operators.vecblocks import Cells, exact_top, lowest_hashed, matrix, pack, top_pairs, whole_vectors
 from furrow.session import drop_scratch, written
 
 SAMPLE = 20_000
@@ -31,6 +31,7 @@ CALIBRATION = 256
 CODES = 256
 SUB_DIM = 8
 TARGET = 0.98
+ASKS = 256
 _ROUNDS = 12
 
 
@@ -214,19 +215,25 @@ def search(q: Quantiser, blocks: DataFrame, queries: DataFrame, k: int = 3, excl
     def rank(batches):
         for batch in batches:
             out = []
-            for vid, qx, ids, x, at in zip(*(batch.column(n) for n in ("vid", "qx", "ids", "x", "at"))):
-                at = at.values.to_numpy()
-                row, col, d = exact_top(np.frombuffer(qx.as_py())[None], np.frombuffer(x.as_py()).reshape(-1, dim)[at],
-                                        ids.values.take(pa.array(at)).to_numpy(zero_copy_only=False), need)
-                out.append((pa.array([vid.as_py()] * len(row), batch.schema.field("vid").type), ids.values.take(pa.array(at[col])), d))
+            for asks, ids, x in zip(*(batch.column(n) for n in ("asks", "ids", "x"))):
+                x, ids = np.frombuffer(x.as_py()).reshape(-1, dim), ids.values
+                vids, asked_, places = (asks.values.field(f) for f in ("vid", "qx", "at"))
+                row = np.repeat(np.arange(len(vids)), places.value_lengths().to_numpy(zero_copy_only=False))
+                col = places.flatten().to_numpy(zero_copy_only=False)
+                row, col, d = top_pairs(matrix(asked_, dim), x, row, col, ids.to_numpy(zero_copy_only=False), need)
+                out.append((vids.take(pa.array(row)), ids.take(pa.array(col)), d))
             if out:
                 vid, did, d = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(vid), pa.concat_arrays(did), pa.array(np.concatenate(d))], ["qid", "did", "distance"])
 
+    # A block's vectors travel once for every few hundred queries that have candidates in it, not once for each.
     listed = (near.groupBy("vid", "block").agg(F.collect_list("at").alias("at"))  # places within one block: at most its rows
-              .join(asked.select(F.col("id").alias("vid"), F.col("x").alias("qx")), "vid").join(blocks.select("block", "ids", "x"), "block"))
+              .join(asked.select(F.col("id").alias("vid"), F.col("x").alias("qx")), "vid"))
+    chunks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("block")) / ASKS)
+    listed = (listed.withColumn("chunk", F.pmod(F.xxhash64("vid"), chunks)).groupBy("block", "chunk")
+              .agg(F.collect_list(F.struct("vid", "qx", "at")).alias("asks")).join(blocks.select("block", "ids", "x"), "block"))
     schema = T.StructType([T.StructField("qid", kinds[0]), T.StructField("did", kinds[1]), T.StructField("distance", T.DoubleType())])
-    hits = listed.select("vid", "qx", "ids", "x", "at").mapInArrow(rank, schema)
+    hits = listed.select("asks", "ids", "x").mapInArrow(rank, schema)
     if exclude_self:
         hits = hits.where(~F.equal_null("qid", "did"))
     w = Window.partitionBy("qid").orderBy("distance", "did")

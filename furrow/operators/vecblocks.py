@@ -212,6 +212,11 @@ def exact_top(q: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np
     rough = qq[:, None] + dd - 2 * (q @ d.T)
     cut = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(d) else np.full(len(q), np.inf)
     row, col = np.nonzero(rough <= (cut + 1e-9 * (qq + dd.max()) + 1e-300)[:, None])
+    return top_pairs(q, d, row, col, ids, k)
+
+
+def top_pairs(q: np.ndarray, d: np.ndarray, row: np.ndarray, col: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs (row of q, position in d): each query's k nearest by (squared distance, id), with their distances."""
     dist = np.zeros(len(row))
     for j in range(q.shape[1]):
         diff = q[row, j] - d[col, j]
