@@ -230,17 +230,9 @@ def model_roundtrip(spark, sf):
                                    F.sum((F.col("p1") == F.col("p2")).cast("long")).alias("n_equal"))
 
 
-# The explained forest is kept small: explanation cost grows with trees x nodes x 2^features.
-EXPLAIN_TREES, EXPLAIN_DEPTH = 10, 8
-
-
 @register("explain_rows", None, ops="J14 H4 H5 B7")
 def explain_rows(spark, sf):
-    """Exact Shapley contributions of every crop observation's predicted class, then the top
-    three positive and top two negative by absolute value."""
+    """Exact Shapley contributions of the deployed crop forest for every observation's predicted class: the top three positive and
+    top two negative by absolute value, chosen within the row."""
     from furrow.operators import explain
-    tr, _ = crop_split(spark, sf)
-    m = models.fit_pipeline(tr, fx.CROP_FEATURES, [], "Crop",
-                            models.classifier("random_forest", 7, num_trees=EXPLAIN_TREES, max_depth=EXPLAIN_DEPTH))
-    long = explain.explain_rows(spark, m, fx.obs(spark, sf), "obs_id", fx.CROP_FEATURES)
-    return ranking.top_contributions(long, "row_id")
+    return explain.explain_top(spark, crop_scorer(spark, sf), fx.obs(spark, sf), "obs_id", fx.CROP_FEATURES)

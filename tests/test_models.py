@@ -73,6 +73,57 @@ def test_shapley_is_additive_and_matches_forest(spark, sf):
     assert np.allclose(j["p"], [pv[c] for pv, c in zip(j["pv"], j["c"])], atol=1e-9)
 
 
+def subsets_by_brute_force(trees, x, cls):
+    """Shapley values over all feature subsets, with expectations by walking the trees."""
+    from itertools import combinations
+    from math import factorial
+
+    def expect(t, fixed, row, c, node=0):
+        left, right = t["left"][node], t["right"][node]
+        if left < 0:
+            return t["value"][node][c]
+        f = t["feat"][node]
+        if f in fixed:
+            go = row[f] in t["cats"][node] if t["cats"][node] is not None else row[f] <= t["thr"][node]
+            return expect(t, fixed, row, c, left if go else right)
+        a, b = t["cover"][left], t["cover"][right]
+        return (a * expect(t, fixed, row, c, left) + b * expect(t, fixed, row, c, right)) / (a + b)
+
+    m = x.shape[1]
+    out = np.zeros(x.shape)
+    for r, (row, c) in enumerate(zip(x, cls)):
+        v = {s: sum(expect(t, s, row, c) for t in trees) / len(trees) for k in range(m + 1) for s in combinations(range(m), k)}
+        for s in v:
+            for i in set(range(m)) - set(s):
+                w = factorial(len(s)) * factorial(m - len(s) - 1) / factorial(m)
+                out[r, i] += w * (v[tuple(sorted((*s, i)))] - v[s])
+    return out
+
+
+def test_shapley_equals_all_subsets_with_categories(spark):
+    from furrow.operators import explain, ranking
+    r = np.random.default_rng(4)
+    rows = [(i, float(r.normal()), float(r.integers(0, 5)), f"k{r.integers(0, 6)}", f"c{int(r.integers(0, 3))}") for i in range(400)]
+    rows = [(i, a, b, k, "c0" if a > 0.3 and k in ("k1", "k4") else y) for i, a, b, k, y in rows]
+    df = spark.createDataFrame(rows, "obs_id long, a double, b double, k string, y string")
+    m = models.fit_pipeline(df, ["a", "b"], ["k"], "y", models.classifier("random_forest", 3, num_trees=5, max_depth=6))
+    trees = explain.forest_tables(spark, m.stages[-1])
+    leaves = explain.leaf_table(trees, 3)
+    assert leaves.allowed and len(leaves.groups(leaves.nbytes // 3)) >= 3
+    got = explain.explained(spark, m, df.limit(25), "obs_id").orderBy("row_id").collect()
+    x, cls = np.array([g.x for g in got]), np.array([g.pred_class for g in got])
+    want = subsets_by_brute_force(trees, x, cls)
+    assert np.allclose([g.phi for g in got], want, atol=1e-10)
+    assert np.allclose([g.base + sum(g.phi) for g in got], [g.prob for g in got], atol=1e-10)
+    split = sum(np.concatenate([p[0], p[1][:, None], p[2][:, None]], axis=1) for p in
+                (explain.shapley(g, x, cls) for g in leaves.groups(leaves.nbytes // 3)))
+    assert np.allclose(split[:, :3], want, atol=1e-10)
+    top = explain.explain_top(spark, m, df, "obs_id", ["a", "b", "k"])
+    long = ranking.top_contributions(explain.explain_rows(spark, m, df, "obs_id", ["a", "b", "k"]), "row_id")
+    assert sorted(map(tuple, top.collect())) == sorted(map(tuple, long.select(*top.columns).collect()))
+    assert "Window" not in top._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_features_are_scaled_by_the_population_deviation(spark):
     df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (6.0, "a")], "x double, y string")
     m = models.fit_features(df, ["x"], [], "y")
