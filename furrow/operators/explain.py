@@ -31,7 +31,7 @@ from furrow.session import drop_path, scratch_path
 
 #: Bytes of leaf table in one broadcast, and row x leaf entries of one numpy block.
 GROUP_BYTES = 128 << 20
-PAIRS = 1 << 19
+PAIRS = 1 << 14
 
 
 def forest_tables(spark: SparkSession, forest) -> list[dict]:

@@ -1,20 +1,21 @@
 """Queries: model fits, comparison, CV, tuning, importance, scoring, persistence.
 
-Model outputs cannot be written in SQL, so these have no oracle; their
+Model outputs cannot be written in SQL, so all but `ridge_gram` have no oracle; their
 properties are unit-tested (tests/test_models.py).
 """
 
 from __future__ import annotations
 
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IndexToString
+from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from furrow.functions import rules
-from furrow.operators import clean, encode, evaluate, models, ranking
+from furrow.operators import clean, encode, evaluate, models, ranking, ridge
 from furrow.plans.registry import register
+from furrow.plans.sqlfrag import with_views
 from furrow.session import scratch_path
 from furrow.sources import fixtures as fx
 
@@ -62,21 +63,47 @@ def fit_rf_classifier(spark, sf):
     return _acc_row(spark, "crop", "random_forest", m.transform(te))
 
 
+def _raw(n: int) -> list:
+    """The assembled features as columns."""
+    x = vector_to_array("raw")
+    return [x[i] for i in range(n)]
+
+
 @register("fit_ridge", None, ops="J1 J2 C5 F4")
 def fit_ridge(spark, sf):
+    """Closed-form ridge on label codes (rounded half-even, clipped) and on yield."""
     tr, te = crop_split(spark, sf)
-    m = models.fit_ridge_classifier(tr, fx.CROP_FEATURES, [], "Crop")
-    cls = _acc_row(spark, "crop", "ridge", models.ridge_class_predictions(m, te, 22)) \
+    prep = models.fit_features(tr, fx.CROP_FEATURES, [], "Crop")
+    xs = _raw(len(fx.CROP_FEATURES))
+    m = ridge.fit(prep.transform(tr), xs, F.col("label_idx"))
+    preds = prep.transform(te).withColumn("prediction", rules.round_clip_class(m.predict(xs), 22).cast("double"))
+    cls = _acc_row(spark, "crop", "ridge", preds) \
         .select("task", "model", F.col("accuracy").alias("score"), F.lit("accuracy").alias("metric"))
     ytr, yte = yield_split(spark, sf)
-    rm = models.fit_pipeline(ytr, YIELD_NUMERIC, YIELD_CATEGORICAL, None, models.regressor("ridge", reg=models.ridge_penalty(ytr, "y")))
-    met = evaluate.regression_metrics(rm.transform(yte).withColumn("_t", F.lit("yield")), ["_t"], "y", "prediction")
+    yprep = models.fit_features(ytr, YIELD_NUMERIC, YIELD_CATEGORICAL, None)
+    yxs = _raw(len(YIELD_NUMERIC) + len(YIELD_CATEGORICAL))
+    ym = ridge.fit(yprep.transform(ytr), yxs, F.col("y"))
+    met = evaluate.regression_metrics(yprep.transform(yte).withColumn("prediction", ym.predict(yxs)).withColumn("_t", F.lit("yield")),
+                                      ["_t"], "y", "prediction")
     reg = met.select(F.col("_t").alias("task"), F.lit("ridge").alias("model"),
                      F.inline(F.array(*[F.struct(F.col(c).alias("score"), F.lit(c).alias("metric"))
                                         for c in ("R2", "RMSE", "MAE")])))
     return cls.unionByName(reg)
 
 
+_GRAM = [*fx.CROP_FEATURES, "code"]
+
+
+@register("ridge_gram", with_views("obs") + ", c AS (SELECT *, dense_rank() OVER (ORDER BY Crop) - 1 AS code FROM obs) " + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, count(*) AS n, round(covar_pop({a}, {b}), 6) AS covariance FROM c" for a in _GRAM for b in _GRAM),
+    ops="J1 J2")
+def ridge_gram(spark, sf):
+    """The one-pass moments behind the closed form: features and label code of the crop observations."""
+    o = fx.obs(spark, sf)
+    coded = StringIndexer(inputCol="Crop", outputCol="code", stringOrderType="alphabetAsc").fit(o).transform(o)
+    return ridge.gram(coded, {c: F.col(c) for c in _GRAM})
+
+
 @register("fit_gbt_multiclass", None, ops="J5 J6 J7")
 def fit_gbt_multiclass(spark, sf):
     tr, te = fert_split(spark, sf)

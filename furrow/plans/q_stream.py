@@ -33,9 +33,9 @@ SELECT conv_id, count(*) AS n_messages, sum(CASE WHEN role = 'user' THEN 1 ELSE
   arg_max(CASE WHEN role = 'user' THEN {sql_intent('content')} END, CASE WHEN role = 'user' THEN turn END) AS last_user_intent
 FROM chat GROUP BY conv_id""", ops="L2")
 def stream_chat_state(spark, sf):
-    """Per-conversation state maintained by a streaming aggregate (complete mode)."""
+    """Per-conversation state of a streaming aggregate: each micro-batch upserts the conversations it changed (update mode)."""
     state = chat_stream.conversation_state(_conv_stream(spark, sf))
-    return chat_stream.run_to_table(spark, state, "complete", "state")
+    return chat_stream.run_to_table(spark, state, "update", "state")
 
 
 @register("stream_score", None, ops="L3")

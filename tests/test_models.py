@@ -124,6 +124,30 @@ def test_shapley_equals_all_subsets_with_categories(spark):
     assert "Window" not in top._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_closed_form_ridge_equals_the_iterative_fit(spark, sf):
+    from furrow.operators import ridge
+    tr, _ = q_models.crop_split(spark, sf)
+    old = models.fit_ridge_classifier(tr, fx.CROP_FEATURES, [], "Crop")
+    new = ridge.fit(old.stages[0].transform(tr), q_models._raw(7), F.col("label_idx"))
+    assert np.allclose(new.coefficients, old.stages[1].coefficients.toArray(), atol=1e-6) and abs(new.intercept - old.stages[1].intercept) < 1e-6
+    both = old.transform(tr).withColumn("new", new.predict(q_models._raw(7)))
+    assert both.where("abs(prediction - new) > 1e-5").isEmpty()
+
+
+def test_ridge_against_normal_equations_and_edges(spark):
+    from furrow.operators import ridge
+    r = np.random.default_rng(1)
+    x = r.normal(size=(60, 3)) * [1, 50, 1e-3] + [1e6, 0, 5]
+    y = x @ [2.0, -0.1, 300.0] + r.normal(size=60)
+    rows = [(*map(float, a), float(b), 7.0) for a, b in zip(x, y)] + [(None, 1.0, 1.0, 1.0, 7.0), (1.0, 1.0, 1.0, None, 7.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y double, flat double")
+    m = ridge.fit(df, [F.col(c) for c in ("a", "b", "c", "flat")], F.col("y"), alpha=2.5)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    want = np.linalg.solve(z.T @ z + 2.5 * np.eye(3), z.T @ (y - y.mean()))
+    assert np.allclose(m.coefficients, [*want, 0], rtol=1e-8) and abs(m.intercept - y.mean()) < 1e-6
+    assert ridge.fit(df.limit(0), [F.col("a")], F.col("y")) is None and ridge.gram(df.limit(0), {"a": F.col("a")}).count() == 0
+
+
 def test_features_are_scaled_by_the_population_deviation(spark):
     df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (6.0, "a")], "x double, y string")
     m = models.fit_features(df, ["x"], [], "y")
