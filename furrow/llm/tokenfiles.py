@@ -13,8 +13,9 @@ range (``count``), the place of the k-th one (``locate``), and decoding of any r
 sizes (documents, ids, symbols, levels, bytes of the tables), the deflated tables (document ids and validity, document ends,
 alphabet, counts, code lengths), then for each level its directory (uint32) and its plane (uint64 words), 8-byte aligned.
 
-*Encoding.* A byte-level tokenizer without a normalizer splits before every white space that follows other characters, so the ids
-of a text are those of its units (white space and the characters after it) in a row; each distinct unit of a chunk is encoded once.
+*Encoding.* A byte-level tokenizer without a normalizer splits before every white space that follows other characters and before
+punctuation that follows a letter or digit, so the ids of a text are those of these units in a row; a worker encodes each distinct
+unit once and keeps it.
 Texts with an added token or white space outside ASCII are encoded whole, and so are all texts with any other kind of tokenizer.
 
 Defined edge cases: a null text is empty (its document holds the end id alone); null document ids come first; equal ids are ordered
@@ -29,6 +30,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,17 +43,22 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.words import Words, chunks, flat
+from furrow.llm.words import _SEP, chunks, flat
 from furrow.session import drop_scratch, written
 
 MAGIC = b"FWMTOK1\n"
 _HEAD = struct.Struct("<8s5Q")
 BLOCK = 1024
 SHARD_TOKENS = 1 << 22
-CHUNK = 1 << 21
+CHUNK = 1 << 23
 RANGE_BYTES = 1 << 25
 MAX_RANGES = 20_000
-_CACHE_UNITS, _CACHE_LENGTH = 300_000, 64
+#: Encoded units that a worker keeps (the table is emptied beyond that, or after a unit of many characters).
+_CACHE_UNITS, _CACHE_LENGTH = 1_000_000, 1_000
+_JOINED = 10_000
+_ALNUM, _MARK = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool)
+_ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
+_MARK[33:127] = ~_ALNUM[33:127]
 #: Fixed value: white space outside ASCII, and the ASCII separators that some tools take for white space.
 _WIDE_SPACE = "[\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 
@@ -120,7 +127,7 @@ def shard_bytes(ids: np.ndarray, doc_ids: pa.Array, ends: np.ndarray) -> bytes:
     if top <= max(1 << 17, 4 * len(ids)):
         counts = np.bincount(ids, minlength=top)
         alphabet = np.flatnonzero(counts)
-        place = np.zeros(top, dtype=np.int64)
+        place = np.zeros(top, dtype=np.int32)
         place[alphabet] = np.arange(len(alphabet))
         counts = counts[alphabet]
     else:
@@ -130,14 +137,18 @@ def shard_bytes(ids: np.ndarray, doc_ids: pa.Array, ends: np.ndarray) -> bytes:
     codes, done = assign_codes(lengths)
     wide = int(lengths.max(initial=0)) > 32
     codes = codes if wide else (codes >> np.uint64(32)).astype(np.uint32)
-    shift = codes.dtype.type(63 if wide else 31)
+    top_bit = codes.dtype.type(1 << (63 if wide else 31))
     x = codes[place[ids] if place is not None else np.searchsorted(alphabet, ids)]
     planes = []
     for symbols in done:
-        ones = (x >> shift).astype(bool)
+        ones = x >= top_bit
         planes.append(_pack(ones))
-        x = x << codes.dtype.type(1)
-        x = np.concatenate([x[~ones], x[ones]])[:len(x) - int(counts[symbols].sum())]
+        x <<= codes.dtype.type(1)
+        below = np.empty_like(x)
+        zeros = len(x) - np.count_nonzero(ones)
+        np.compress(~ones, x, out=below[:zeros])
+        np.compress(ones, x, out=below[zeros:])
+        x = below[:len(x) - int(counts[symbols].sum())]
     known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
     tables = zlib.compress(b"".join([
         doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), known.astype(np.uint8).tobytes(),
@@ -276,19 +287,29 @@ class Shard:
 
     def tokens(self) -> np.ndarray:
         """All ids, rebuilt from the last level up."""
-        below = np.zeros(0, dtype=np.uint32)
+        kind = np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
+        below = np.zeros(0, dtype=kind)
         for level in range(len(self.done) - 1, -1, -1):
             symbols = self.done[level]
-            below = np.concatenate([below, np.repeat(self.alphabet[symbols], self.counts[symbols])])
+            below = np.concatenate([below, np.repeat(symbols.astype(kind), self.counts[symbols])])
             bits = self._bits(level)
-            here = np.empty(len(bits), dtype=np.uint32)
+            here = np.empty(len(bits), dtype=kind)
             here[~bits], here[bits] = below[:self.zeros[level]], below[self.zeros[level]:]
             below = here
-        return below
+        return self.alphabet[below].astype(np.uint32)
 
 
 # encoding -------------------------------------------------------------------------------------------------------------------
 
+def _unit_cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Starts of all units, and the end: texts, white space after other bytes, and ASCII punctuation after an ASCII letter or digit."""
+    space = _SEP[buf]
+    cut = np.zeros(len(buf) + 1, dtype=bool)
+    cut[1:-1] = (space[1:] & ~space[:-1]) | (_MARK[buf[1:]] & _ALNUM[buf[:-1]])
+    cut[offs] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
     """Ids of texts with an end id each."""
 
@@ -303,52 +324,81 @@ class Encoder:
                         and not split.get("add_prefix_space"))
         added = [t["content"] for t in state["added_tokens"]]
         self.whole = "|".join([_WIDE_SPACE, *("".join(f"\\x{{{ord(c):x}}}" for c in t) for t in added)])
-        self.known: dict[str, list[int]] = {}
+        self.bytes = np.zeros(self.tool.get_vocab_size(), dtype=np.int64)
+        for token, i in self.tool.get_vocab().items():
+            self.bytes[i] = len(token)
+        self._forget()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _units(self, units: list[str]) -> list[list[int]]:
-        new = [u for u in units if u not in self.known]
-        fresh = dict(zip(new, self._encode(new)))
-        out = [fresh[u] if u in fresh else self.known[u] for u in units]
-        if len(self.known) > _CACHE_UNITS:
-            self.known.clear()
-        self.known.update((u, ids) for u, ids in fresh.items() if len(u) <= _CACHE_LENGTH)
-        return out
+    def _rows(self, units: list[str]) -> np.ndarray:
+        """Row of every unit in the table of known units; new ones are encoded."""
+        if len(self.ends) > _CACHE_UNITS:
+            self._forget()
+        rows = self.rows
+        new = [u for u in units if u not in rows]
+        spaced = [u for u in new if u[0] == " " and u[-1] not in " \t\n\v\f\r"]
+        for lo in range(0, len(spaced), _JOINED):
+            self._join(spaced[lo:lo + _JOINED])
+        rest = [u for u in new if u not in rows]
+        for u, ids in zip(rest, self._encode(rest)):
+            rows[u] = self._add(ids)
+        return np.fromiter((rows[u] for u in units), np.int64, len(units))
+
+    def _add(self, ids: list[int]) -> int:
+        """A row of ids in the pool."""
+        self.pool.extend(ids)
+        self.ends.append(len(self.pool))
+        return len(self.ends) - 2
+
+    def _join(self, units: list[str]) -> None:
+        """Encodes units that begin with a space and end otherwise as one text; the bytes of the ids give each unit's share."""
+        ids = np.array(self._encode(["".join(units)])[0], dtype=np.int64)
+        at = np.concatenate([[0], np.cumsum(self.bytes[ids])])
+        want = np.cumsum([len(u.encode()) for u in units])
+        cut = np.searchsorted(at, want)
+        if at[-1] != want[-1] or (at[cut] != want).any():
+            return  # not a tokenizer whose ids tile the bytes: each unit is encoded alone
+        first = len(self.ends) - 1
+        self.rows.update(zip(units, range(first, first + len(units))))
+        self.ends.extend((len(self.pool) + cut).tolist())
+        self.pool.extend(ids.tolist())
+
+    def _forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.pool, self.ends = array("I", [self.end]), array("q", [0, 1])  # row 0 is the end id
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
-        texts = texts.cast(pa.large_string()).fill_null("")
+        texts = texts.fill_null("") if texts.null_count else texts
         if self.by_unit:
             whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
         else:
             whole = np.ones(len(texts), dtype=bool)
-        direct = self._encode(texts.filter(pa.array(whole)).to_pylist())
-        plain = pc.if_else(pa.array(whole), "", texts)
-        buf, offs = flat(plain)
-        cuts = np.unique(np.concatenate([offs, Words(plain).ends]))
-        units = pa.Array.from_buffers(pa.large_string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(buf)])
-        named = units.dictionary_encode()
-        lists = self._units(named.dictionary.to_pylist())
-        which = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        pool = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
-        start = np.cumsum(size) - size
-        ends = np.concatenate([[0], np.cumsum(size[which])])
-        ids = pool[np.repeat(start[which] - ends[:-1], size[which]) + np.arange(ends[-1])]
-        doc_ends = ends[np.searchsorted(cuts, offs)]
-        n = np.diff(doc_ends)
-        n[whole] = [len(d) for d in direct]
-        out = np.full(int(n.sum()) + len(n), self.end, dtype=np.uint32)
-        text = np.ones(len(out), dtype=bool)
-        last = np.cumsum(n + 1)
-        text[last - 1] = False
-        for row, found in zip(np.flatnonzero(whole), direct):
-            out[last[row] - 1 - len(found):last[row] - 1] = found
-            text[last[row] - 1 - len(found):last[row] - 1] = False
-        out[text] = ids
-        return out, n + 1
+        buf, offs = flat(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        cuts = _unit_cuts(buf, offs)
+        wide = len(buf) >= 2 ** 31
+        units = pa.Array.from_buffers(pa.large_string() if wide else pa.string(), len(cuts) - 1,
+                                      [None, pa.py_buffer(cuts.astype(np.int64 if wide else np.int32)), pa.py_buffer(buf)]).dictionary_encode()
+        names = units.dictionary.to_pylist()
+        rows = self._rows(names)[units.indices.to_numpy(zero_copy_only=False)]
+        ends_at = np.searchsorted(cuts, offs[1:])  # the unit after each text
+        direct = [self._add(ids) for ids in self._encode(texts.filter(pa.array(whole)).to_pylist())]
+        final = ends_at + np.arange(len(ends_at)) + np.cumsum(whole)  # the end row of each text, after its units or its own row
+        added = np.zeros(len(ends_at) + len(direct), dtype=np.int64)
+        added[np.cumsum(1 + whole)[whole] - 2] = direct
+        rows = np.insert(rows, np.repeat(ends_at, 1 + whole), added)
+        ends, pool = np.frombuffer(self.ends, np.int64), np.frombuffer(self.pool, np.uint32)
+        kind = np.int32 if len(pool) + len(buf) + len(rows) < 2 ** 31 else np.int64
+        start = ends[rows].astype(kind)
+        size = ends[rows + 1].astype(kind) - start
+        last = np.cumsum(size, dtype=kind)
+        out = pool[np.repeat(start - last + size, size) + np.arange(int(last[-1]) if len(last) else 0, dtype=kind)]
+        del ends, pool
+        if max(map(len, names), default=0) > _CACHE_LENGTH:
+            self._forget()
+        return out, np.diff(last[final].astype(np.int64), prepend=0)
 
 
 @lru_cache(maxsize=2)
