@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from furrow.operators import chat, store
 from furrow.plans.registry import register
 from furrow.plans.sqlfrag import with_views
-from furrow.session import scratch_path
+from furrow.session import scratch_path, written
 from furrow.sources import fixtures as fx
 from furrow.sources import tables
 
@@ -93,3 +93,23 @@ def scan_csv_roundtrip(spark, sf):
     schema = o.schema
     back = tables.read_csv(spark, path, schema=schema, strip_header=True, strip_cells=True)
     return back.select(*o.columns)
+
+
+_CSV = [("rec_id", "bigint"), ("Crop", "string"), ("Season", "string"), ("State_Name", "string"), ("Temperature", "double"),
+        ("Area", "double"), ("Crop_Year", "bigint")]
+
+
+@register("csv_inferred_types", with_views("yield_raw") + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", {f"CASE WHEN count(*) = count({c}) THEN 'bigint' ELSE 'double' END" if t == "bigint" else f"'{t}'"} AS "type",
+        count({c}) AS n_values, count(*) - count({c}) AS n_missing,
+        (SELECT count(*) FROM yield_raw WHERE rec_id % 50 = 0) AS n_bad_rows FROM yield_raw""" for c, t in _CSV), ops="A1")
+def csv_inferred_types(spark, sf):
+    """Field records as CSV lines, some of them cut short: the types inferred over all whole rows, missing cells and bad rows."""
+    y = fx.yield_raw(spark, sf).select(*[c for c, _ in _CSV])
+    cut = y.where("rec_id % 50 = 0").select(F.concat_ws(",", F.col("rec_id").cast("string"), F.lit("cut")).alias("value"))
+    path = scratch_path(spark, "csv-lines")
+    y.select(F.to_csv(F.struct(*y.columns)).alias("value")).unionByName(cut).write.text(path)
+    back = written(tables.read_csv(spark, path, names=y.columns, corrupt_column="bad"), "csv-rows")  # parsed once
+    whole = back.where("bad is null").drop("bad")
+    n_bad = back.agg(F.count_if(F.col("bad").isNotNull()).alias("n_bad_rows"))  # one row
+    return tables.column_types(whole, y.columns).crossJoin(F.broadcast(n_bad))

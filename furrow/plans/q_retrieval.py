@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from furrow.functions import text as tx
 from furrow.functions.vectors import as_double, with_hashed_embedding
-from furrow.operators import chat, ivf, retrieval
+from furrow.operators import chat, ivf, retrieval, store
 from furrow.plans.q_text import sql_intent, sql_params
 from furrow.plans.registry import register
 from furrow.plans.sqlfrag import Raw, h32, with_views
@@ -77,6 +77,27 @@ def rag_gate(spark, sf):
     return retrieval.gate(kb_hits(spark, sf), kb_queries(spark, sf), KB_THRESHOLD)
 
 
+@register("rag_store_gate", with_views("kb") + _sql_knn(_KB_Q, K, True) + _gate_sql(KB_THRESHOLD), ops="A11 A12 K4")
+def rag_store_gate(spark, sf):
+    """The store is written in batches, loaded again, and answers as the table it came from."""
+    path = scratch_path(spark, "store")
+    store.build_store(fx.kb(spark, sf), path)
+    kept, loaded = store.load_store(spark, path)
+    assert loaded
+    docs = kept.select(F.col("id").alias("did"), as_double(F.col("embedding")).alias("dvec"))
+    return retrieval.gate(retrieval.knn(kb_queries(spark, sf), docs, k=K, exclude_self=True, share_equal=False), kb_queries(spark, sf), KB_THRESHOLD)
+
+
+@register("rag_empty_store", with_views("kb") + """
+SELECT id AS qid, false AS use_rag, 'general' AS mode, 999.0::DOUBLE AS best_distance FROM kb""", ops="A12 K4")
+def rag_empty_store(spark, sf):
+    """Without a stored table every query gets the general mode."""
+    kept, loaded = store.load_store(spark, scratch_path(spark, "no-store"))
+    assert kept is None and not loaded
+    docs = spark.createDataFrame([], "did long, dvec array<double>")
+    return retrieval.gate(retrieval.knn(kb_queries(spark, sf), docs, k=K), kb_queries(spark, sf), KB_THRESHOLD)
+
+
 @register("rag_sources", with_views("kb") + _sql_knn(_KB_Q, K, True) + f"""
 SELECT qid, rank AS number, did AS id, coalesce(topic, '') AS topic, coalesce(category, '') AS category,
        round(distance, 4) AS distance FROM hits WHERE distance < {KB_THRESHOLD}""", ops="K5")
@@ -105,35 +126,39 @@ def _sql_embedding(col):
 def routed(spark, sf):
     """Messages with intent, routing mode and (for the general ones) best store distance; and the hits by text.
 
+    A message of a model intent whose parameters are malformed has no model result and routes on like a general one.
     A text's route depends on the text alone, so every distinct text is encoded and searched once (its query id is the text)."""
     m = fx.messages(spark, sf).withColumn("intent", tx.detect_intent(F.col("text")))
-    texts = m.filter((F.col("intent") == "general") & F.col("text").isNotNull()).select(F.col("text").alias("qid")).distinct()
+    m = m.withColumn("general", (F.col("intent") == "general") | tx.params_error(tx.extract_params(F.col("text"))))
+    texts = m.filter(F.col("general") & F.col("text").isNotNull()).select(F.col("text").alias("qid")).distinct()
     general = written(with_hashed_embedding(texts, "qid", "qvec"), "route-texts")
     hits = retrieval.knn(general, kb_docs(spark, sf), k=K)
     g = retrieval.gate(hits, general, ROUTE_THRESHOLD)
     j = m.join(g.withColumnRenamed("qid", "text"), "text", "left")
-    mode = F.when(F.col("intent") != "general", F.lit("ml_model")).when(F.col("use_rag"), F.lit("rag")) \
+    mode = F.when(~F.col("general"), F.lit("ml_model")).when(F.col("use_rag"), F.lit("rag")) \
         .otherwise(F.lit("general"))
     return j.withColumn("mode", mode), hits
 
 
 _ROUTE_SQL = with_views("messages", "kb") + f"""
-, m AS (SELECT *, {sql_intent()} AS intent, concat_ws(':', src, CAST(msg_id AS VARCHAR), CAST(turn AS VARCHAR)) AS qid FROM messages),
-cnt AS (SELECT qid, {_sql_embedding('text')} AS c FROM m WHERE intent = 'general'),
+, m0 AS (SELECT *, {sql_intent()} AS intent, concat_ws(':', src, CAST(msg_id AS VARCHAR), CAST(turn AS VARCHAR)) AS qid, {sql_params()}
+       FROM messages),
+m AS (SELECT *, intent = 'general' OR {" OR ".join(f"{f} IS NULL" for f in tx.PARAM_FIELDS)} AS routes_on FROM m0),
+cnt AS (SELECT qid, {_sql_embedding('text')} AS c FROM m WHERE routes_on),
 emb AS (SELECT qid, CASE WHEN sqrt(list_reduce(list_transform(c, lambda v: v * v), lambda x, y: x + y)) > 0 THEN
           list_transform(c, lambda v: v / sqrt(list_reduce(list_transform(c, lambda w: w * w), lambda x, y: x + y))) END AS qvec FROM cnt)
 """ + _sql_knn("SELECT qid, qvec FROM emb WHERE qvec IS NOT NULL", K, False) + f"""
 , g AS (SELECT qid, min(distance) AS best FROM hits GROUP BY qid)
 SELECT m.src, m.msg_id, m.turn, m.intent,
-  CASE WHEN m.intent <> 'general' THEN 'ml_model' WHEN g.best < {ROUTE_THRESHOLD} THEN 'rag' ELSE 'general' END AS mode,
-  CASE WHEN m.intent = 'general' THEN round(coalesce(g.best, 999.0), 4) END AS best_distance
+  CASE WHEN NOT m.routes_on THEN 'ml_model' WHEN g.best < {ROUTE_THRESHOLD} THEN 'rag' ELSE 'general' END AS mode,
+  CASE WHEN m.routes_on THEN round(coalesce(g.best, 999.0), 4) END AS best_distance
 FROM m LEFT JOIN g ON m.qid = g.qid"""
 
 
 @register("route_message", _ROUTE_SQL, ops="K7 K1 C13 L1")
 def route_message(spark, sf):
     r, _ = routed(spark, sf)
-    best = F.when(F.col("intent") == "general", F.coalesce("best_distance", F.lit(999.0)))
+    best = F.when(F.col("general"), F.coalesce("best_distance", F.lit(999.0)))
     return r.select("src", "msg_id", "turn", "intent", "mode", best.alias("best_distance"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,28 +40,64 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     ])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             strip_header: bool = True, strip_cells: bool = False) -> DataFrame:
-    """CSV scan with a header.
+def has_quoted_breaks(spark: SparkSession, path: str) -> bool:
+    """Whether some line of the files holds an odd number of quotes, so that a quoted cell may run over its end."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
 
-    With a schema the columns are read as strings first (so padded headers
-    and cells are tolerated), then null tokens become NULL and values are
-    cast with ``try_cast``: a malformed cell becomes NULL instead of failing.
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, strip_header: bool = True, strip_cells: bool = False,
+             names: list[str] | None = None, infer: bool = False, corrupt_column: str | None = None) -> DataFrame:
+    """CSV scan with a header, or with given column names and no header.
+
+    Files are split between tasks unless a quoted line break is found (one pass over the lines decides). All columns are read as
+    strings first (so padded headers and cells are tolerated), then null tokens become NULL. With a schema its columns are cast with
+    ``try_cast``: a malformed cell becomes NULL instead of failing. With ``infer`` the other columns get the narrowest type that
+    holds all their rows. ``corrupt_column`` keeps the line of a row with too few or too many cells (NULL elsewhere); such rows
+    take no part in the inference.
     """
-    raw = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True)
-           .option("quote", '"').option("escape", '"').csv(path))
+    reader = (spark.read.option("header", names is None).option("mode", "PERMISSIVE").option("multiLine", has_quoted_breaks(spark, path))
+              .option("quote", '"').option("escape", '"'))
+    found = names or reader.csv(path).columns
+    fields = [T.StructField(c, T.StringType()) for c in found]
+    if corrupt_column:
+        fields.append(T.StructField(corrupt_column, T.StringType()))
+        reader = reader.option("columnNameOfCorruptRecord", corrupt_column).option("columnPruning", False)
+    raw = reader.schema(T.StructType(fields)).csv(path)
     if strip_header:
         raw = normalize_columns(raw)
+    keep = raw.columns[len(found):]
     if strip_cells:
         raw = trim_strings(raw)
-    cols = []
-    for name in raw.columns:
-        c = F.col(f"`{name}`")
-        c = F.when(c.isin(NULL_TOKENS) | c.isNull(), F.lit(None)).otherwise(c)
-        if schema is not None and name in schema.fieldNames():
-            c = c.try_cast(schema[name].dataType)
-        cols.append(c.alias(name))
-    return raw.select(*cols)
+    cells = {c: F.when(F.col(f"`{c}`").isin(NULL_TOKENS), F.lit(None)).otherwise(F.col(f"`{c}`")) for c in raw.columns[:len(found)]}
+    text = raw.select(*[v.alias(c) for c, v in cells.items()], *keep)
+    known = {f.name: f.dataType for f in schema} if schema is not None else {}
+    if infer:
+        whole = text.where(F.col(corrupt_column).isNull()) if corrupt_column else text
+        known = {r.column: T._parse_datatype_string(r.type) for r in column_types(whole, [c for c in cells if c not in known]).collect()} | known
+    return text.select(*[(F.col(f"`{c}`").try_cast(known[c]) if c in known else F.col(f"`{c}`")).alias(c) for c in cells], *keep)
+
+
+_INTEGER = r"^[+-]?[0-9]{1,19}$"
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(inf|Infinity)$"
+
+
+def column_types(text: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, type, n_values, n_missing) of string columns: one aggregate over all rows, then the first type that holds them all.
+
+    The lattice, from the narrowest up: boolean and bigint (both only without missing cells), double (also for a column that is
+    missing throughout), string."""
+    def counts(c: str) -> Column:
+        v = F.col(f"`{c}`")
+        ways = {"v": v.isNotNull(), "i": v.rlike(_INTEGER) & v.try_cast("bigint").isNotNull(), "d": v.rlike(_NUMBER), "b": v.isin("True", "False", "true", "false")}
+        return F.struct(F.lit(c).alias("column"), F.count(F.lit(1)).alias("n"), *[F.count_if(w).alias(k) for k, w in ways.items()])
+
+    if not columns:
+        return text.sparkSession.createDataFrame([], "column string, type string, n_values long, n_missing long")
+    r = text.agg(*[counts(c).alias(f"c{i}") for i, c in enumerate(columns)]).select(F.inline(F.array(*[f"c{i}" for i in range(len(columns))])))
+    kind = (F.when((F.col("b") == F.col("n")) & (F.col("n") > 0), "boolean").when((F.col("i") == F.col("n")) & (F.col("n") > 0), "bigint")
+            .when(F.col("d") == F.col("v"), "double").otherwise("string"))
+    return r.select("column", kind.alias("type"), F.col("v").alias("n_values"), (F.col("n") - F.col("v")).alias("n_missing"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

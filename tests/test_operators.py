@@ -156,3 +156,29 @@ def test_knn_ignores_documents_without_a_vector(spark):
     docs = spark.createDataFrame([(1, [0.0, 1.0]), (2, None), (3, [1.0, 0.0])], "did long, dvec array<double>")
     q = spark.createDataFrame([(9, [0.0, 0.9])], "qid long, qvec array<double>")
     assert [r.did for r in knn(q, docs, k=2, n_pivots=1).orderBy("rank").collect()] == [1, 3]
+
+
+def test_csv_splits_infers_and_keeps_bad_rows(spark, tmp_path):
+    from furrow.sources import tables
+    lines = ["a, b ,c,d,e,f"] + [f"{i},{i}.5,x{i},True,{i if i % 3 else ''},NA" for i in range(3000)]
+    (tmp_path / "t.csv").write_text("\n".join([*lines, "1,2", "1,2,3,4,5,6,7"]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        t = tables.read_csv(spark, str(tmp_path / "t.csv"), infer=True, corrupt_column="bad")
+        assert t.rdd.getNumPartitions() > 3
+        assert dict(t.dtypes) == {"a": "bigint", "b": "double", "c": "string", "d": "boolean", "e": "double", "f": "double", "bad": "string"}
+        assert sorted(r.bad for r in t.where("bad is not null").collect()) == ["1,2", "1,2,3,4,5,6,7"]
+        assert t.where("bad is null").agg(F.sum("a")).first()[0] == sum(range(3000)) and t.where("bad is null and e is null").count() == 1000
+        (tmp_path / "q.csv").write_text('a,b\n1,"two\nlines"\n2,"say ""hi"""\n')
+        q = tables.read_csv(spark, str(tmp_path / "q.csv"), infer=True)
+        assert sorted(map(tuple, q.collect())) == [(1, "two\nlines"), (2, 'say "hi"')]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tables.column_types(spark.createDataFrame([], "x string"), ["x"]).first().type == "double"
+
+
+def test_malformed_parameters_route_on(spark):
+    from furrow.functions import text as tx
+    p = tx.extract_params(F.col("t"))
+    df = spark.createDataFrame([("recommend a crop, pH = 6.5.1",), ("recommend a crop, pH = 6.5",)], "t string")
+    assert [r[0] for r in df.select(tx.params_error(p)).collect()] == [True, False]
