@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.llm.words import Words, chunks
+from furrow.llm.words import Words, chunks, unused
 
 BLOCK = 64
 STOP_SHARE = 0.02
@@ -408,14 +408,14 @@ def _search(shared):
     return run
 
 
-def _clean(shared):
+def _clean(shared, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = _Searcher(shared.value)
         for batch in batches:
-            for c in chunks(batch, "__text"):
+            for c in chunks(batch, column):
                 keep = np.ones(c.num_rows, dtype=bool)
-                keep[s.find(c.column("__text"))[0]] = False
-                yield c.drop_columns(["__text"]).filter(pa.array(keep))
+                keep[s.find(c.column(column))[0]] = False
+                yield c.drop_columns([column]).filter(pa.array(keep))
     return run
 
 
@@ -438,5 +438,6 @@ def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     if not b.parts:
         return docs
     b = fit(docs, b)
-    return (docs.withColumn("__text", F.coalesce(F.lower("text"), F.lit("")))
-            .mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(b)), docs.schema))
+    column = unused("__text", docs.columns)
+    return (docs.withColumn(column, F.coalesce(F.lower("text"), F.lit("")))
+            .mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(b), column), docs.schema))

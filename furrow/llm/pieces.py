@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from furrow.llm.words import Words, chunks, flat, list_array, lists, mix
+from furrow.llm.words import Words, chunks, flat, list_array, lists, mix, unused
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 20
@@ -302,21 +302,22 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", key: str
     column of that name holds the text decoded from the ids in the same task."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     src = docs.drop(out, *([decoded] if decoded else []))
+    text_, key_ = (unused(c, docs.columns) for c in ("__text", "__key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch, "__text", CHUNK):
-                keys = c.column("__key").fill_null(0).to_numpy()
-                ids, offs = encode_chunk(shared.value, c.column("__text"), keys, seed, temperature)
-                made = _append(c.drop_columns(["__text", "__key"]), out,
-                               _with_nulls(list_array(ids, offs, pa.int32()), c.column("__text")))
+            for c in chunks(batch, text_, CHUNK):
+                keys = c.column(key_).fill_null(0).to_numpy()
+                ids, offs = encode_chunk(shared.value, c.column(text_), keys, seed, temperature)
+                made = _append(c.drop_columns([text_, key_]), out,
+                               _with_nulls(list_array(ids, offs, pa.int32()), c.column(text_)))
                 if decoded:
-                    made = _append(made, decoded, _with_nulls(decode_chunk(shared.value, ids, offs), c.column("__text")))
+                    made = _append(made, decoded, _with_nulls(decode_chunk(shared.value, ids, offs), c.column(text_)))
                 yield made
 
     schema = T.StructType([*src.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())),
                            *([T.StructField(decoded, T.StringType())] if decoded else [])])
-    return src.withColumns({"__text": F.col(f"`{text}`"), "__key": F.col(f"`{key}`").cast("long")}).mapInArrow(run, schema)
+    return src.withColumns({text_: F.col(f"`{text}`"), key_: F.col(f"`{key}`").cast("long")}).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, pieces: str = "pieces", out: str = "decoded") -> DataFrame:

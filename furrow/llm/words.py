@@ -191,3 +191,11 @@ def owner_key(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
 def distinct_per_owner(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Indices of the first row of every distinct (value, owner)."""
     return np.unique(owner_key(values, owner), return_index=True)[1]
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that is not among those given (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
