@@ -8,7 +8,7 @@ Estimators (name -> Spark ML form):
   ridge          LinearRegression (L2); as a classifier its output is rounded
                  half-even and clipped to the class range
   random_forest  RandomForestClassifier / RandomForestRegressor
-  gbt            OneVsRest(GBTClassifier) for multi-class / GBTRegressor
+  (boosted trees: operators/boosting.py)
   rff_svm        random Fourier features (RBF kernel approximation) +
                  OneVsRest(LinearSVC); probabilities from a multinomial
                  LogisticRegression on the same features
@@ -20,12 +20,11 @@ import math
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +73,8 @@ def bins_for(prep: PipelineModel, at_least: int, label: str | None) -> int:
 
 
 def with_bins(estimator, prep: PipelineModel, label: str | None):
-    tree = estimator.getClassifier() if isinstance(estimator, OneVsRest) else estimator
-    if tree.hasParam("maxBins"):
-        tree.setMaxBins(bins_for(prep, tree.getMaxBins(), label))
+    if estimator.hasParam("maxBins"):
+        estimator.setMaxBins(bins_for(prep, estimator.getMaxBins(), label))
     return estimator
 
 
@@ -116,11 +114,6 @@ def classifier(name: str, n_features: int, **p):
                                       maxDepth=p.get("max_depth", UNLIMITED_DEPTH), featureSubsetStrategy="sqrt",
                                       minInstancesPerNode=p.get("min_instances", 1), impurity="gini",
                                       maxBins=p.get("max_bins", 32), seed=SEED)
-    if name == "gbt":
-        base = GBTClassifier(featuresCol="raw", labelCol="label_idx", maxIter=p.get("max_iter", 200),
-                             stepSize=p.get("step_size", 0.1), maxDepth=p.get("max_depth", 6),
-                             maxBins=p.get("max_bins", 32), seed=SEED)
-        return OneVsRest(classifier=base, featuresCol="raw", labelCol="label_idx", parallelism=p.get("parallelism", 4))
     raise ValueError(name)
 
 
@@ -199,10 +192,6 @@ def regressor(name: str, **p):
         return RandomForestRegressor(featuresCol="raw", labelCol="y", numTrees=p.get("num_trees", 100),
                                      maxDepth=p.get("max_depth", 12), featureSubsetStrategy="all",
                                      maxBins=p.get("max_bins", 64), seed=SEED)
-    if name == "gbt":
-        return GBTRegressor(featuresCol="raw", labelCol="y", maxIter=p.get("max_iter", 200),
-                            stepSize=p.get("step_size", 0.1), maxDepth=p.get("max_depth", 6),
-                            maxBins=p.get("max_bins", 64), seed=SEED)
     raise ValueError(name)
 
 
