@@ -8,10 +8,8 @@ Estimators (name -> Spark ML form):
   ridge          LinearRegression (L2); as a classifier its output is rounded
                  half-even and clipped to the class range
   random_forest  RandomForestClassifier / RandomForestRegressor
-  (boosted trees: operators/boosting.py)
-  rff_svm        random Fourier features (RBF kernel approximation) +
-                 OneVsRest(LinearSVC); probabilities from a multinomial
-                 LogisticRegression on the same features
+
+Boosted trees are in ``boosting``, the kernel classifier in ``kernelsvm``; the Fourier map of the latter is here.
 """
 
 from __future__ import annotations
@@ -20,9 +18,9 @@ import math
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -102,7 +100,7 @@ def rff_features(x: Column, dim: int, n_components: int, gamma: float, seed: int
     return F.array(*comps)
 
 
-def _gamma_scale(df: DataFrame, n_features: int) -> float:
+def gamma_scale(df: DataFrame, n_features: int) -> float:
     """sklearn's gamma='scale' = 1 / (n_features * var(X)) over all scaled feature values (one small aggregate)."""
     v = df.select(F.explode(vector_to_array("features")).alias("v")).agg(F.var_pop("v")).first()[0]
     return 1.0 / (n_features * v) if v else 1.0
@@ -149,41 +147,6 @@ def ridge_class_predictions(model: PipelineModel, df: DataFrame, n_classes: int)
     return p.withColumn("prediction", round_clip_class(F.col("prediction"), n_classes).cast("double"))
 
 
-def fit_rff_svm(train: DataFrame, numeric, categorical, label, c: float = 10.0, n_components: int = 100,
-                max_iter: int = 50):
-    """RBF-kernel SVM approximated by random Fourier features + one-vs-rest linear SVMs.
-
-    Returns (prep, gamma, svm_model, prob_model). The RFF map is a column
-    expression with fixed seeded weights, applied identically at train and
-    score time by ``rff_transform``.
-    """
-    prep = fit_features(train, numeric, categorical, label)
-    t = prep.transform(train)
-    d = len(numeric) + len(categorical)
-    gamma = _gamma_scale(t, d)
-    # Cached: every one-vs-rest fit and every solver iteration re-reads it.
-    z = rff_transform(t, d, n_components, gamma).select("label_idx", "rff").cache()
-    n = z.count()  # Spark averages the hinge loss, so a penalty C on the sum is 1 / (C n) here
-    svc = LinearSVC(featuresCol="rff", labelCol="label_idx", regParam=1.0 / (c * max(n, 1)), maxIter=max_iter)
-    svm = OneVsRest(classifier=svc, featuresCol="rff", labelCol="label_idx", parallelism=8).fit(z)
-    prob = LogisticRegression(featuresCol="rff", labelCol="label_idx", family="multinomial", maxIter=max_iter,
-                              regParam=1.0 / (c * 100.0)).fit(z)
-    z.unpersist()
-    return prep, gamma, d, n_components, svm, prob
-
-
-def rff_transform(df: DataFrame, dim: int, n_components: int, gamma: float) -> DataFrame:
-    x = vector_to_array("features")
-    return df.withColumn("rff", array_to_vector(rff_features(x, dim, n_components, gamma)))
-
-
-def rff_predictions(fitted, df: DataFrame) -> DataFrame:
-    prep, gamma, d, n_comp, svm, prob = fitted
-    z = rff_transform(prep.transform(df), d, n_comp, gamma)
-    return prob.transform(svm.transform(z).withColumnRenamed("prediction", "svm_prediction")
-                          .drop("rawPrediction")).withColumn("prediction", F.col("svm_prediction"))
-
-
 def regressor(name: str, **p):
     if name == "ridge":
         return LinearRegression(featuresCol="features", labelCol="y", elasticNetParam=0.0,

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions import rules
-from furrow.operators import boosting, clean, encode, evaluate, models, ranking, ridge
+from furrow.operators import boosting, clean, encode, evaluate, kernelsvm, models, ranking, ridge
 from furrow.plans.registry import register
 from furrow.plans.sqlfrag import with_views
 from furrow.session import scratch_path
@@ -28,9 +28,6 @@ YIELD_NUMERIC = ["Temperature", "Humidity", "Soil_Moisture", "Area", "Crop_Year"
 YIELD_CATEGORICAL = ["Crop", "Season", "State_Name"]
 FERT_NUMERIC = ["Temperature", "Humidity", "Rainfall", "pH", "N", "P", "K"]
 FERT_CATEGORICAL = ["Soil", "Crop"]
-# The one-vs-rest linear SVMs (22 classes) run a short solver schedule.
-CHECK_SVM_ITERS = 10
-CHECK_RFF_COMPONENTS = 50
 
 
 def crop_split(spark, sf):
@@ -144,13 +141,42 @@ def fit_gbt_multiclass(spark, sf):
         [], "task string, model string, accuracy double, iterations int, first_loss double, last_loss double, loss_falls boolean")
 
 
+def fit_kernel(split, numeric, categorical, label):
+    """(model, prepared test rows with margins, probabilities, prediction) of one task."""
+    tr, te = split
+    prep = models.fit_features(tr, numeric, categorical, label)
+    t = prep.transform(tr)
+    x = vector_to_array("features")
+    m = kernelsvm.fit(t, x, F.col("label_idx"), len(prep.stages[0].labels), models.gamma_scale(t, len(numeric) + len(categorical)))
+    tr.unpersist()
+    if m is None:
+        return None, None
+    p = prep.transform(te).withColumn("margins", m.margins(x)).withColumn("probability", m.probabilities(F.col("margins")))
+    best, sure = ranking.argmax_confidence(F.col("margins"))[0], F.array_max("probability")
+    return m, p.withColumn("prediction", best.cast("double")).withColumn("confidence", sure)
+
+
 @register("fit_rff_svm", None, ops="J9 J10")
 def fit_rff_svm(spark, sf):
-    tr, te = crop_split(spark, sf)
-    fitted = models.fit_rff_svm(tr, fx.CROP_FEATURES, [], "Crop", n_components=CHECK_RFF_COMPONENTS,
-                                max_iter=CHECK_SVM_ITERS)
-    p = models.rff_predictions(fitted, te)
-    return _acc_row(spark, "crop", "rff_svm", p)
+    """The kernel classifier on both tasks: accuracy, calibration error, and whether probabilities add up to one and rank as the margins."""
+    rows = []
+    for task, split, numeric, categorical, label in [
+            ("crop", crop_split(spark, sf), fx.CROP_FEATURES, [], "Crop"),
+            ("fertilizer", fert_split(spark, sf), FERT_NUMERIC, FERT_CATEGORICAL, "Fertilizer")]:
+        m, p = fit_kernel(split, numeric, categorical, label)
+        if m is None:
+            continue
+        total = F.aggregate("probability", F.lit(0.0), lambda a, v: a + v)
+        best = F.element_at("probability", F.col("prediction").cast("int") + 1)
+        checks = p.groupBy(F.lit(task).alias("task")).agg(F.every(F.abs(total - 1) < 1e-9).alias("sums_to_one"),
+                                                          F.every(best == F.col("confidence")).alias("ranks_as_margins"))
+        ece = evaluate.calibration_error(p, F.col("confidence"), F.col("prediction") == F.col("label_idx"))
+        rows.append(_acc_row(spark, task, "rff_svm", p).select("*", F.lit(m.passes).alias("passes"),
+                                                               F.lit(len(m.phase)).alias("components"))
+                    .join(ece.withColumn("task", F.lit(task)), "task").join(checks, "task"))  # one row each
+    return reduce(DataFrame.unionByName, rows) if rows else spark.createDataFrame(
+        [], "task string, model string, accuracy double, passes int, components int, calibration_error double, sums_to_one boolean, "
+            "ranks_as_margins boolean")
 
 
 def _reg_rows(name, model, te):
