@@ -5,10 +5,11 @@ A conversation is rows (conv_id, turn, role, content[, used_model, response_mode
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.operators.joins import attach_small
+from furrow.operators.ordering import indexed
 
 # Speaker labels used in prompts and exports.
 PROMPT_USER, PROMPT_OTHER = "Farmer", "Advisor"
@@ -19,17 +20,36 @@ def _speaker(role_col: str, user_label: str, other_label: str):
     return F.when(F.col(role_col) == "user", F.lit(user_label)).otherwise(F.lit(other_label))
 
 
-def history_text(df: DataFrame, max_turns: int | None = None) -> DataFrame:
-    """For every turn, 'Farmer: ...\\n\\nAdvisor: ...\\n\\n' of all turns strictly before it.
+#: Turns in one block of a conversation.
+HISTORY_BLOCK = 128
 
-    A running window per conversation (rows frame ending one row before the
-    current). The text grows with the conversation by nature; ``max_turns``
-    bounds it to the last N turns when prompts must stay short.
+
+def history_text(df: DataFrame, max_turns: int | None = None, asks: Column | None = None) -> DataFrame:
+    """'Farmer: ...\\n\\nAdvisor: ...\\n\\n' of all turns strictly before it, for every turn where ``asks`` holds (default: all turns).
+
+    Returns the asking rows with a column ``history``. A conversation is cut into blocks of ``HISTORY_BLOCK`` consecutive turns, each an
+    array of its pieces in order; an asking turn meets the blocks at or before its own by an equality join on (conversation, block) and
+    keeps the earlier pieces. So texts are built for asking turns alone, and a hot conversation spreads over its blocks. A full
+    history is as long as what came before; ``max_turns`` bounds it to the last N turns and the blocks met to those that hold them.
+
+    Turns are ordered by turn, then role and content; a null content is left out, rows without a conversation see no history.
     """
-    piece = F.concat(_speaker("role", PROMPT_USER, PROMPT_OTHER), F.lit(": "), F.col("content"), F.lit("\n\n"))
-    start = Window.unboundedPreceding if max_turns is None else -max_turns
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(start, -1)
-    return df.withColumn("history", F.array_join(F.collect_list(piece).over(w), ""))
+    content = F.concat(_speaker("role", PROMPT_USER, PROMPT_OTHER), F.lit(": "), F.col("content"), F.lit("\n\n"))
+    asks = F.lit(True) if asks is None else F.coalesce(asks, F.lit(False))
+    rows = indexed(df.withColumn("_asks", asks), ["turn", "role", "content"], ["conv_id"], idx_col="_at")
+    blocks = rows.select("conv_id", F.floor(F.col("_at") / HISTORY_BLOCK).alias("_block"), "_at", content.alias("_piece")) \
+        .groupBy("conv_id", "_block").agg(F.sort_array(F.collect_list(F.struct("_at", "_piece"))).alias("_pieces"))
+    first = F.lit(0) if max_turns is None else F.greatest(F.col("_at") - max_turns, F.lit(0))
+    asking = rows.filter("_asks").withColumn("_from", first.cast("long"))
+    met = asking.filter("_at > 0").select("conv_id", "_at", "_from", F.explode(F.sequence(
+        F.floor(F.col("_from") / HISTORY_BLOCK), F.floor((F.col("_at") - 1) / HISTORY_BLOCK))).alias("_block"))
+    earlier = F.filter("_pieces", lambda p: (p["_at"] < F.col("_at")) & (p["_at"] >= F.col("_from")))
+    parts = met.join(blocks, ["conv_id", "_block"]) \
+        .select("conv_id", "_at", "_block", F.array_join(F.transform(earlier, lambda p: p["_piece"]), "").alias("_text"))
+    texts = parts.groupBy("conv_id", "_at").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("_block", "_text"))), lambda p: p["_text"]), "").alias("history"))
+    return asking.join(texts, ["conv_id", "_at"], "left").withColumn("history", F.coalesce("history", F.lit(""))) \
+        .select(*df.columns, "history")
 
 
 def append_turns(history: DataFrame, new_turns: DataFrame) -> DataFrame:

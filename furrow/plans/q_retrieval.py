@@ -232,7 +232,7 @@ def build_prompt(spark, sf):
     """Prompt per routed message: model result / retrieved documents / general, with chat history."""
     r, hits = routed(spark, sf)
     ctx = retrieval.context(hits, ROUTE_THRESHOLD)
-    hist = chat.history_text(fx.chat(spark, sf)).select(
+    hist = chat.history_text(fx.chat(spark, sf), asks=F.col("role") == "user").select(
         F.lit("chat").alias("src"), F.col("conv_id").alias("msg_id"), F.col("turn").cast("long").alias("turn"), "history")
     p = tx.extract_params(F.col("text"))
     j = r.join(ctx.withColumnRenamed("qid", "text"), "text", "left").join(hist, ["src", "msg_id", "turn"], "left") \

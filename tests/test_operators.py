@@ -100,6 +100,23 @@ def test_chat_history_edit_clear(spark):
     assert {r.conv_id: r.turns for r in chat.turn_counts(h).collect()} == {1: 1, 2: 0}
 
 
+def test_history_meets_blocks_and_only_asking_turns(spark, monkeypatch):
+    monkeypatch.setattr(chat, "HISTORY_BLOCK", 4)
+    rows = [(c, t, "user" if t % 3 else "assistant", None if t == 5 else f"{c}.{t}") for c in (1, 2) for t in range(23 if c == 1 else 1)]
+    df = spark.createDataFrame(rows + [(3, 7, "user", "a"), (3, 7, "user", "b")], "conv_id long, turn long, role string, content string")
+
+    def before(c, t, most=None):
+        told = [r for r in rows if r[0] == c and r[1] < t][-most if most else 0:]
+        return "".join(("Farmer: " if r[2] == "user" else "Advisor: ") + r[3] + "\n\n" for r in told if r[3])
+
+    for most in (None, 3, 6):
+        got = {(r.conv_id, r.turn): r.history for r in chat.history_text(df.filter("conv_id < 3"), max_turns=most).collect()}
+        assert got == {(c, t): before(c, t, most) for c, t, _, _ in rows}
+    asked = chat.history_text(df, asks=F.col("content").isin("1.20", "2.0", "b"))
+    assert {(r.conv_id, r.turn): r.history for r in asked.collect()} == {(1, 20): before(1, 20), (2, 0): "", (3, 7): "Farmer: a\n\n"}
+    assert chat.history_text(df.limit(0)).count() == 0
+
+
 def test_regression_metrics_constant_target(spark):
     df = spark.createDataFrame([("g", 2.0, 1.0), ("g", 2.0, 3.0)], "grp string, y double, yhat double")
     r = evaluate.regression_metrics(df, ["grp"]).first()
