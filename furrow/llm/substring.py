@@ -8,8 +8,8 @@ length:
    found in a single document are dropped.
 2. *Full length* (50 words). Full windows whose anchor survived are hashed (96 bits); the smallest doc_id per window
    decides which documents repeat an earlier one. Words covered by such windows are removed.
-3. *Longer* (``repeat_lengths``): anchors of a wider neighbourhood carry a ladder of hashes at 50, 100, 200, ... words;
-   a level keeps the rungs that repeat and extends those alone, until no candidate survives.
+3. *Longer* (``repeat_lengths``): all full windows that repeat are extended to 100, 200, ... words where both halves repeat;
+   a level keeps the windows that repeat and extends those alone, until no candidate survives.
 
 Exact copies of a whole text are recognised by digest first; only the smallest doc_id of a copy group takes part as a
 candidate at full length, so a group holding a third of all rows costs one member.
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from furrow.llm.words import (
     Words, as_long, chunks, distinct_per_owner, lists, owner_key, window_hashes, window_inside,
 )
-from furrow.session import ensure_checkpoint_dir
+from furrow.session import drop_scratch, written
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -195,61 +195,80 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, carry: bool = False) ->
     return found.unionByName(nameless).mapInArrow(_strip(min_words, carried), schema)
 
 
-_LADDER = pa.schema([("doc_id", pa.int64()), ("rungs", pa.list_(pa.int64()))])
+_PLACE = pa.schema([("h", pa.int64()), ("g", pa.int32()), ("doc_id", pa.int64()), ("digest", pa.int64()), ("at", pa.int64())])
 
 
-def _ladders(length: int, width: int):
-    """Anchors among windows of `length` words, one in every `width` neighbours, each with hashes of doubled lengths."""
+def _anchored(length: int, half: int):
+    """Where the windows start whose anchor is alive."""
+    def find(c: pa.RecordBatch, w: Words, h: np.ndarray) -> np.ndarray:
+        values, owner = _anchor_values(w, h, length, half)
+        alive, offs = lists(c.column("alive"))
+        of = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+        ok = np.flatnonzero(window_inside(w.counts, w.word_offs, len(h), length))
+        return ok[np.isin(owner_key(values, owner), owner_key(as_long(alive).view(np.uint64), of))] if len(values) else ok[:0]
+    return find
+
+
+def _extended(length: int):
+    """Where windows start whose two halves repeat, each on its own."""
+    def find(c: pa.RecordBatch, w: Words, h: np.ndarray) -> np.ndarray:
+        at, offs = lists(c.column("places"))
+        of = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+        at = w.word_offs[of] + at
+        repeats = np.zeros(len(h), dtype=bool)
+        repeats[at] = True
+        at = np.sort(at[at + length <= w.word_offs[of + 1]])
+        return at[repeats[at + length // 2]]
+    return find
+
+
+def _places(length: int, find):
+    """Every window of `length` words at the places that `find` names: 96-bit hash, document, text digest, first word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in chunks(batch, "text"):
                 w = Words(c.column("text"))
-                h, n = w.hashes(), len(w)
-                low, owner = _anchor_values(w, h, length + width - 1, length)
-                # Texts shorter than a neighbourhood have the anchor of all their windows.
-                win = window_hashes(h, length)
-                ok = window_inside(w.counts, w.word_offs, n, length)
-                doc = w.doc[:len(win)]
-                short = ok & (w.counts[doc] < length + width - 1)
-                wanted = np.concatenate([owner_key(low, owner), owner_key(win[short], doc[short])])
-                at = np.flatnonzero(ok)
-                at = at[np.isin(owner_key(win[at], doc[at]), wanted)]
-                left = w.word_offs[1:][w.doc[at]] - at if n else at
-                rungs, size = [win[at]], length
-                while (left >= 2 * size).any():
-                    size *= 2
-                    more = window_hashes(h, size)
-                    rungs.append(np.where(left >= size, more[np.minimum(at, len(more) - 1)], np.uint64(0)))
-                flat, deep = np.stack(rungs, axis=1) if len(at) else np.zeros((0, 1), np.uint64), len(rungs)
-                have = left[:, None] >= length * 2 ** np.arange(deep)[None, :]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_ids(c)[w.doc[at]] if n else np.zeros(0, np.int64), pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(have.sum(1))]), pa.int32()),
-                                              pa.array(as_long(flat[have[:len(flat)]]), pa.int64()))], schema=_LADDER)
+                h = w.hashes()
+                at = find(c, w, h)
+                if len(at):
+                    of = w.doc[at]
+                    yield _emit(_PLACE, as_long(window_hashes(h, length)[at]),
+                                (window_hashes(h, length, seed=1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32),
+                                _ids(c)[of], _ids(c, "digest")[of], at - w.word_offs[of])
     return run
 
 
 def repeat_lengths(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc_id, longest_repeat): the largest length min_words * 2**k at which an anchored window of the document also
-    occurs in another document; documents without one are absent.
-
-    A level groups the candidates' hashes, drops those of a single document and extends the rest. The levels end when no
-    candidate survives; their number is at most log2 of the longest text's words."""
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
-    level = (_base(docs).where("doc_id is not null")
-             .mapInArrow(_ladders(min_words, 2 * min_words), "doc_id long, rungs array<long>").distinct())
-    found, depth = None, 0
+    """(doc_id, longest_repeat): the largest length min_words * 2**k at which a window of the document also occurs in another
+    document; documents without one are absent.
+
+    The first level holds every window of `min_words` words that repeats. A level keeps the windows that occur in more than one
+    document and extends those alone: a window of twice the length is a candidate where both of its halves repeat. The levels end when
+    no candidate survives; their number is at most log2 of the longest text's words. Each level is written to the shared folder and
+    removed once the next one is there. Null and short texts have no window, rows that share a doc_id are one document, exact copies
+    under different ids repeat each other whole, a null doc_id takes no part, and an empty table gives an empty result."""
+    half, length = (min_words + 1) // 2, min_words
+    texts = _base(docs).where("doc_id is not null").withColumn("digest", F.xxhash64("text")).dropDuplicates(["doc_id", "digest"])
+    anchors = texts.mapInArrow(_anchors(length, half, "doc_id"), "h long, doc_id long")
+    shared = anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
+    alive = anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("alive"))
+    schema = "h long, g int, doc_id long, digest long, at long"
+    level = written(texts.join(alive, "doc_id").mapInArrow(_places(length, _anchored(length, half)), schema), "places")
+    found = []
     while True:
-        cand = level.where(F.size("rungs") > depth).withColumn("h", F.element_at("rungs", depth + 1))
-        shared = (cand.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-                  .where("lo < hi").select("h"))
-        level = cand.join(shared, "h").select("doc_id", "rungs").checkpoint(eager=True)
-        if level.isEmpty():
+        repeated = level.groupBy("h", "g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+        kept = written(level.join(repeated, ["h", "g"], "left_semi"), "repeats")
+        drop_scratch(level)
+        if kept.isEmpty():
             break
-        here = level.groupBy("doc_id").agg(F.lit(min_words * 2 ** depth).cast("long").alias("length"))
-        found = here if found is None else found.unionByName(here)
-        depth += 1
-    if found is None:
+        found.append(written(kept.select("doc_id").distinct().withColumn("length", F.lit(length).cast("long")), "lengths"))
+        length *= 2
+        places = kept.groupBy("doc_id", "digest").agg(F.collect_list("at").alias("places"))
+        level = written(texts.join(places, ["doc_id", "digest"]).mapInArrow(_places(length, _extended(length)), schema), "places")
+        drop_scratch(kept)
+    if not found:
         return docs.limit(0).select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("longest_repeat"))
-    return found.groupBy("doc_id").agg(F.max("length").alias("longest_repeat"))
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("doc_id").agg(F.max("length").alias("longest_repeat"))

@@ -54,11 +54,39 @@ def test_substring_empty_and_carry(make):
     assert [tuple(r) for r in out] == [("en", "a b")]
 
 
+def brute_lengths(rows, k):
+    out = {}
+    while True:
+        owners = {}
+        for d, t in rows:
+            w = WORD.findall(t or "")
+            for i in range(len(w) - k + 1 if d is not None else 0):
+                owners.setdefault(tuple(w[i:i + k]), set()).add(d)
+        hit = {d for ids in owners.values() if len(ids) > 1 for d in ids}
+        if not hit:
+            return out
+        out.update(dict.fromkeys(hit, k))
+        k *= 2
+
+
 def test_repeat_lengths_double_until_nothing_survives(make):
-    long = words(900, 5)
-    out = substring.repeat_lengths(make([(1, long), (2, words(100, 6)), (3, "x " + long + " y"), (4, words(60, 7))]), 50)
-    got = {r.doc_id: r.longest_repeat for r in out.collect()}
-    assert set(got) == {1, 3} and set(got.values()) <= {400, 800} and max(got.values()) >= 400
+    passages = [words(n, 100 + n) for n in (49, 50, 51, 60, 99, 100, 101, 148, 199, 200, 900)]
+    rows = [(2 * i + s, words(31 + 7 * i, 200 + i + 50 * s) + " " + p + " " + words(40, 300 + 2 * i + s)) for i, p in enumerate(passages)
+            for s in (0, 1)]
+    both = passages[3] + " " + passages[4]  # halves that repeat in different documents make no longer repeat
+    rows += [(100, both), (101, None), (102, ""), (None, passages[10]), (103, "z " * 300), (104, "z " * 120), (105, words(70, 9)),
+             (105, words(70, 9)), (106, words(400, 10)), (107, words(400, 10)), (108, words(400, 10))]
+    got = substring.repeat_lengths(make(rows).withColumn("h", F.lit(1)).withColumn("digest", F.lit("clash")), 50)
+    want = brute_lengths(rows, 50)
+    assert {r.doc_id: r.longest_repeat for r in got.collect()} == want
+    assert want[20] == 800 and want[6] == 50 and 0 not in want and 105 not in want and want[106] == 400 and want[103] == 100
+    assert substring.repeat_lengths(make([]).limit(0)).count() == 0
+
+
+def test_repeat_lengths_miss_no_short_passage(make):
+    shared = [words(60, 1000 + i) for i in range(40)]
+    rows = [(2 * i + s, words(300, 3000 + 2 * i + s) + " " + p + " " + words(300, 5000 + 2 * i + s)) for i, p in enumerate(shared) for s in (0, 1)]
+    assert {r.doc_id: r.longest_repeat for r in substring.repeat_lengths(make(rows)).collect()} == {d: 50 for d in range(80)}
 
 
 def brute_components(rows, k=4):
