@@ -334,3 +334,45 @@ def test_lm_learns_pairs_seen_once(make):
     assert (m.probe(pair) >= 1).all() and (m.probe(tok) >= 1).all()
     seen, unseen = sorted(lm.score(make([(1, "a b c d"), (2, "d c b a")]), m, counts).collect(), key=lambda r: r.doc_id)
     assert seen.base_score == pytest.approx(unseen.base_score) and seen.score > unseen.score
+
+
+def test_lm_score_by_hand(make, monkeypatch):
+    """Scores against a direct reading of the formula, weights of the best deleted likelihood, probabilities that add up to at most one."""
+    monkeypatch.setattr(lm, "FIT_SHARE", 1)
+    monkeypatch.setattr(lm, "KEY_BITS", 400)  # no false positives
+    r = random.Random(8)
+    texts = [" ".join(r.choice(["a b", "c d e", "f", "G", "h i"]) for _ in range(r.randint(0, 40))) for _ in range(60)]
+    m, counts = lm.train(make(list(enumerate(texts))))
+    end = "<end>"
+    runs = [[None, *(t.lower().split()), end] for t in texts]
+    one, two = {}, {}
+    for run in runs:
+        for v, w in zip(run, run[1:]):
+            one[w] = one.get(w, 0) + 1
+            two[v, w] = two.get((v, w), 0) + 1
+    n, k = sum(one.values()), len(one)
+    assert (m.n_tokens, m.n_distinct, m.n_docs) == (n, k, len(texts))
+    before = lambda v: len(texts) if v is None else one.get(v, 0)
+    least = lambda x: 2 ** (x.bit_length() - 1) if x else 0
+
+    def p(v, w):
+        x = m.mixture[before(v).bit_length()]
+        return x * least(two.get((v, w), 0)) / max(before(v), 1) + (1 - x) * (one.get(w, 0) + 1) / (n + k + 1)
+
+    new = ["a b a zz", "", "e c", "zz", "h i h i f g"]
+    got = {r.doc_id: r.score for r in lm.score(make(list(enumerate(new))), m, counts).collect()}
+    for i, t in enumerate(new):
+        run = [None, *t.split(), end]
+        assert abs(got[i] - sum(math.log10(p(v, w)) for v, w in zip(run, run[1:]))) < 1e-9
+    assert all(sum(p(v, w) for w in one) + (1 - m.mixture[before(v).bit_length()]) / (n + k + 1) <= 1 + 1e-12 for v in [None, *one])
+
+    gains = {}
+    for run in runs:
+        for v, w in zip(run, run[1:]):
+            q, word = max(least(two[v, w]) - 1, 0) / max(before(v) - 1, 1), one[w] / (n + k)
+            g = gains.setdefault(before(v).bit_length(), [0, np.zeros(len(lm.WEIGHTS))])
+            g[0] += 1
+            g[1] += np.log(lm.WEIGHTS * min(q, 1) + (1 - lm.WEIGHTS) * word)
+    every = sum(g for _, g in gains.values()) / sum(c for c, _ in gains.values())
+    for level, (_, g) in gains.items():
+        assert m.mixture[level] == lm.WEIGHTS[np.argmax(g + lm.LEAN * every)]
