@@ -123,3 +123,35 @@ def test_ivf_edges(spark, tmp_path):
 def test_kmeans_restarts_empty_clusters():
     x = np.repeat([[0.0, 0], [5, 5], [9, 0]], [50, 3, 1], axis=0)
     assert sorted(map(tuple, ivf.kmeans(x, 8, 0).tolist())) == [(0, 0), (5, 5), (9, 0)]
+
+
+def test_a_part_keeps_k_rows_a_query_whatever_its_blocks():
+    """A query block and a store block travel once to a part, and each query leaves it with its nearest rows alone."""
+    import pyarrow as pa
+    r = np.random.default_rng(8)
+    q, d = r.normal(size=(40, 6)), r.normal(size=(96, 6))
+    left = pa.table({"qb": [0, 1], "ids": [list(range(20)), list(range(20, 40))], "x": [q[:20].tobytes(), q[20:].tobytes()],
+                     "opened": [[1, 2, 3], [2]], "bound": [np.full(20, np.inf).tobytes()] * 2})
+    right = pa.table({"code": [1, 2, 2, 3], "ids": [list(range(lo, lo + 24)) for lo in (0, 24, 48, 72)],
+                      "x": [d[lo:lo + 24].tobytes() for lo in (0, 24, 48, 72)]})
+    got = vecblocks.nearest_pairs(left, right, 6, 3).to_pylist()
+    assert len(got) == 40 * 3
+    dist = ((q[:, None] - d[None]) ** 2).sum(axis=2)
+    dist[20:, :24] = dist[20:, 72:] = np.inf
+    want = {i: set(np.argsort(dist[i])[:3]) for i in range(40)}
+    assert {i: {g["did"] for g in got if g["vid"] == i} for i in range(40)} == want
+    own = vecblocks.nearest_pairs(left, right, 6, 3, other_ids=True).to_pylist()
+    assert all(g["vid"] != g["did"] for g in own)
+
+
+def test_hashed_neighbours_share_a_value_and_list_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vecblocks, "BLOCK", 16)
+    r = np.random.default_rng(9)
+    x, h = r.normal(size=(200, 5)), r.integers(0, 4, (200, 2))
+    rows = [(i, x[i].tolist(), h[i].tolist()) for i in range(200)]
+    got = retrieval.knn_hashed(spark.createDataFrame(rows, "id long, vec array<double>, h array<bigint>"), 2)
+    want = {}
+    for i in range(200):
+        near = [(float(((x[i] - x[j]) ** 2).sum()), j) for j in range(200) if j != i and (h[i] == h[j]).any()]
+        want[i] = sorted(near)[:2]
+    compare(got, want)
