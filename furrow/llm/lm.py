@@ -16,8 +16,8 @@ counts come from a broadcast table.
 Scores mix the pair estimate with the single-token one: P(w | v) = L q(v, w) / c(v) + (1 - L) (c(w) + 1) / (N + V + 1). Single tokens have
 exact counts; a pair's q is the smallest count of its level, so that a context's pairs add up to at most one (but for the filter's
 false positives) and the mixture is a probability, with what quantising takes off left unused. L depends on the level of c(v) and is
-fitted by deleted interpolation: one in ``FIT_SHARE`` of the training rows, chosen by a hash of the row, is scored with each of its own
-tokens taken out of the counts, and each level takes the weight of the best likelihood (levels seen little lean on all tokens).
+fitted by deleted interpolation: every training row is scored with each of its own tokens taken out of the counts, and each level takes
+the weight of the best likelihood (levels seen little lean on all tokens).
 
 Tokens are 64-bit hashes of A-Z lower-cased words, plus one end token per text. Defined edge cases: a null text is empty (one
 end token); a null doc_id is scored, not learned from; without training rows N = V = 0 and every score is 0 or the log of the
@@ -48,8 +48,8 @@ COMBINE = 1 << 20
 #: Text of a chunk that is scored together.
 CHUNK_BYTES = 1 << 22
 HOT = 1 << 20
-#: One in this many training rows fits the weights of the mixture.
-FIT_SHARE = 32
+#: One in this many training rows fits the weights of the mixture: every row.
+FIT_SHARE = 1
 #: Weights that are tried, and the tokens of all levels that each level's choice is smoothed with.
 WEIGHTS = np.arange(1, 50) / 50
 LEAN = 100.0
@@ -284,7 +284,8 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         n_docs += int(n[h == end].sum())
     model = Model(hot_h[order], hot_n[order], n_tokens, n_distinct, n_docs, blocks)
     with _exchanges_removed(spark):
-        model.mixture = _fit(docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(FIT_SHARE)) == 0), model, blocks)
+        fitted = docs if FIT_SHARE == 1 else docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(FIT_SHARE)) == 0)
+        model.mixture = _fit(fitted, model, blocks)
     return model, blocks
 
 

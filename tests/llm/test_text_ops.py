@@ -376,3 +376,9 @@ def test_lm_score_by_hand(make, monkeypatch):
     every = sum(g for _, g in gains.values()) / sum(c for c, _ in gains.values())
     for level, (_, g) in gains.items():
         assert m.mixture[level] == lm.WEIGHTS[np.argmax(g + lm.LEAN * every)]
+
+
+def test_lm_weights_come_from_every_training_row(make):
+    """Three rows of one repeated pair: whichever row is there, its level leans on the pairs."""
+    m, _ = lm.train(make([(i, "a b " * 40) for i in (1, 2, 3)]))
+    assert m.mixture[lm._level(np.array([120]))[0]] > 0.9
