@@ -155,3 +155,17 @@ def test_hashed_neighbours_share_a_value_and_list_no_pairs(spark, monkeypatch):
         near = [(float(((x[i] - x[j]) ** 2).sum()), j) for j in range(200) if j != i and (h[i] == h[j]).any()]
         want[i] = sorted(near)[:2]
     compare(got, want)
+
+
+def test_ivf_hands_candidates_on_in_bounded_batches(spark, tmp_path, monkeypatch):
+    """However many blocks an Arrow batch holds, a task keeps a bounded number of candidates; the hits are the same."""
+    rows = list(enumerate(clusters(600, 8, 6, 11, 0.3).tolist()))
+    ivf.build(frame(spark, rows, "did long, dvec array<double>"), str(tmp_path / "index"))
+    q, blocks = ivf.load(spark, str(tmp_path / "index"))
+    asked = frame(spark, rows[::5], "qid long, qvec array<double>")
+    found = []
+    for held in (1, 1 << 30):
+        monkeypatch.setattr(ivf, "HELD", held)
+        hits, work = ivf.search(q, blocks, asked, k=3)
+        found.append((sorted(map(tuple, hits.collect())), sorted(map(tuple, work.collect()))))
+    assert found[0] == found[1]
