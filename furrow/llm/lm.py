@@ -359,7 +359,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _looked_up(m: Model, group: pa.Table):
-    """Of a chunk: its rows, document offsets, and for every token its count, its pair's level and its context's count."""
+    """Of a chunk: its rows, document offsets, and for every token its count, its pair's level, its context's count and its pair's number."""
     kind = group.column("kind").to_numpy()
     stream = group.column("data")[int(np.flatnonzero(kind == 2)[0])].as_buffer()
     c = pa.ipc.open_stream(stream).read_next_batch()
@@ -375,7 +375,7 @@ def _looked_up(m: Model, group: pa.Table):
     before = np.empty(len(back), dtype=np.int64)
     before[1:] = n[:-1]
     before[offs[:-1]] = m.n_docs
-    return c, offs, n, column("data").astype(np.int64)[pair_back], before
+    return c, offs, n, column("data").astype(np.int64)[pair_back], before, pair_back
 
 
 def mixed(m: Model, n: np.ndarray, pair_level: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -388,7 +388,7 @@ def mixed(m: Model, n: np.ndarray, pair_level: np.ndarray, before: np.ndarray) -
 def _finish(shared, unit: float):
     def run(group: pa.Table) -> pa.Table:
         m: Model = shared.value
-        c, offs, n, pair_level, before = _looked_up(m, group)
+        c, offs, n, pair_level, before, _ = _looked_up(m, group)
         size = np.diff(offs)
         return pa.table({
             "doc_id": c.column("doc_id"), "n_tokens": size,
@@ -403,12 +403,20 @@ def _deleted(shared):
     """Log likelihoods of a chunk's tokens by level of the context and weight, each token taken out of the counts; weight -1: tokens."""
     def run(group: pa.Table) -> pa.Table:
         m: Model = shared.value
-        _, _, n, pair_level, before = _looked_up(m, group)
+        _, _, n, pair_level, before, pair = _looked_up(m, group)
+        # A pair has one value wherever it occurs; without a count left, the weight is a factor of its own.
+        times, first = np.bincount(pair), np.empty(pair.max() + 1, dtype=np.int64)
+        first[pair[::-1]] = np.arange(len(pair))[::-1]
+        n, pair_level, before = n[first], pair_level[first], before[first]
         level = _level(before)
         seen = np.minimum(1.0, np.maximum(_least(pair_level) - 1, 0) / np.maximum(before - 1, 1))
         word = np.maximum(n, 1) / (m.n_tokens + m.n_distinct)
-        sums = [np.bincount(level, minlength=LEVELS).astype(float)]
-        sums += [np.bincount(level, np.log(x * seen + (1 - x) * word), LEVELS) for x in WEIGHTS]
+        sums = [np.bincount(level, times, LEVELS)]
+        none = seen == 0
+        count = np.bincount(level[none], times[none], LEVELS)
+        fixed = np.bincount(level[none], times[none] * np.log(word[none]), LEVELS)
+        level, seen, word, times = level[~none], seen[~none], word[~none], times[~none]
+        sums += [fixed + count * math.log(1 - x) + np.bincount(level, times * np.log(x * seen + (1 - x) * word), LEVELS) for x in WEIGHTS]
         return pa.table({"level": np.tile(np.arange(LEVELS, dtype=np.int32), len(sums)),
                          "weight": np.repeat(np.arange(-1, len(WEIGHTS), dtype=np.int32), LEVELS), "value": np.concatenate(sums)})
     return run
