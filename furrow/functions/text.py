@@ -93,12 +93,26 @@ def params_error(params: Column) -> Column:
 
 def first_contained(msg: Column, vocab: list[str] | Column, strip_items: bool = False) -> Column:
     """First vocabulary item (in vocabulary order) contained in the lower-cased
-    text, else the first item. ``vocab`` is a literal list or an array column."""
-    arr = F.array(*[F.lit(v) for v in vocab]) if isinstance(vocab, list) else vocab
+    text, else the first item. ``vocab`` is a literal list or an array column.
+
+    A literal list becomes a chain of branches that ends at the first hit and lower-cases the text once."""
     low = F.lower(msg)
     item_key = (lambda v: F.lower(strip_ws(v))) if strip_items else F.lower
-    hits = F.filter(arr, lambda v: F.contains(low, item_key(v)))
-    return F.coalesce(F.try_element_at(hits, F.lit(1)), F.try_element_at(arr, F.lit(1)))
+    if isinstance(vocab, list):
+        out = F.lit(vocab[0] if vocab else None).cast("string")
+        hit = None
+        for v in vocab:
+            is_in = F.contains(low, item_key(F.lit(v)))
+            hit = F.when(is_in, F.lit(v)) if hit is None else hit.when(is_in, F.lit(v))
+        return out if hit is None else hit.otherwise(out)
+    return first_keyed(low, F.transform(vocab, lambda v: F.struct(v.alias("v"), item_key(v).alias("key"))))
+
+
+def first_keyed(low: Column, items: Column) -> Column:
+    """``v`` of the first (v, key) of an array whose key the text ``low`` contains, else of the first one. ``low`` is read once an
+    item: give a computed column, not an expression."""
+    hits = F.filter(items, lambda p: F.contains(low, p["key"]))
+    return F.coalesce(F.try_element_at(hits, F.lit(1)), F.try_element_at(items, F.lit(1)))["v"]
 
 
 def split_sentences(text: Column) -> Column:

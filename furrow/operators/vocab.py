@@ -68,10 +68,12 @@ def attach_first_contained(df: DataFrame, text_col: str, values: DataFrame, name
     for name in names:
         mine = values.filter(F.col("name") == name).select("v")
         if size.get(name, 0) <= broadcast_bytes:
-            row = mine.agg(F.array_sort(F.collect_list("v")).alias("_items"))
-            df = df.crossJoin(F.broadcast(row)) \
-                .withColumn(name, tx.first_contained(F.col(text_col), F.col("_items"), strip_items=name in strip)) \
-                .drop("_items")
+            # keys are made once in the broadcast row, the text is lower-cased once below the join
+            key = _item_key(F.col("v"), name in strip)
+            row = mine.agg(F.array_sort(F.collect_list(F.struct("v", key.alias("key")))).alias("_items"))
+            df = df.withColumn("_low", F.lower(F.col(text_col))).crossJoin(F.broadcast(row)) \
+                .withColumn(name, tx.first_keyed(F.col("_low"), F.col("_items"))) \
+                .drop("_items", "_low")
         else:
             df = _match_by_join(df, text_col, mine, name, name in strip)
     return df

@@ -97,3 +97,21 @@ def test_preview(spark):
 def test_sq_l2(spark):
     df = spark.createDataFrame([([1.0, 2.0], [4.0, 6.0])], ["a", "b"])
     assert df.select(sq_l2(F.col("a"), F.col("b"))).first()[0] == 25.0
+
+
+def test_first_contained_ends_at_the_first_hit(spark):
+    df = spark.createDataFrame([("Rice and MAIZE",), (None,), ("none",)], "t string")
+    got = df.select(text.first_contained(F.col("t"), ["Maize", "rice"]).alias("a"), text.first_contained(F.col("t"), []).alias("b"),
+                    text.first_contained(F.col("t"), [" rice\t", "x"], strip_items=True).alias("c"))
+    assert [tuple(r) for r in got.collect()] == [("Maize", None, " rice\t"), ("Maize", None, " rice\t"), ("Maize", None, " rice\t")]
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()  # no item is tested after a hit, no text lower-cased an item
+
+
+def test_vocabulary_keys_are_not_made_once_a_text(spark):
+    from furrow.operators import vocab
+    m = spark.createDataFrame([("in kharif",)], "text string")
+    voc = vocab.distinct_values(spark.createDataFrame([(" Kharif ",), ("Rabi",)], "c string"), {"x": "c"})
+    out = vocab.attach_first_contained(m, "text", voc, ["x"], strip={"x"})
+    assert out.first()["x"] == " Kharif "
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("regexp" not in line and "lower" not in line for line in plan.split("\n") if "filter(" in line)
