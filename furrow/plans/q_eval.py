@@ -57,10 +57,11 @@ def regression_metrics(spark, sf):
 
 
 def _folded(spark, sf):
-    p = fx.preds_cls(spark, sf)
+    p = fx.preds_cls_wide(spark, sf)
     folds = encode.kfold_assign(fx.obs(spark, sf).select("obs_id", F.col("Fertilizer").alias("label")),
                                 "label", "obs_id", 5)
-    return p.join(folds.select("obs_id", "fold"), "obs_id")
+    # one row an observation is shuffled, not one a model
+    return fx.preds_long(p.join(folds.select("obs_id", "fold"), "obs_id"))
 
 
 @register("cv_summary", with_views("preds_cls", "obs") + f"""

@@ -199,3 +199,25 @@ def test_malformed_parameters_route_on(spark):
     p = tx.extract_params(F.col("t"))
     df = spark.createDataFrame([("recommend a crop, pH = 6.5.1",), ("recommend a crop, pH = 6.5",)], "t string")
     assert [r[0] for r in df.select(tx.params_error(p)).collect()] == [True, False]
+
+
+def test_a_null_group_is_dropped_without_inlining_its_expression(spark):
+    df = spark.range(40).select("id", F.when(F.col("id") % 7 < 6, F.md5(F.col("id").cast("string")).substr(1, 1)).alias("g"))
+    df = df.join(F.broadcast(spark.range(50).withColumnRenamed("id", "k")), F.col("id") == F.col("k")) \
+        .select("id", F.upper(F.concat("g", F.col("k").cast("string").substr(1, 0))).alias("g"))
+    out = encode.kfold_assign(df, "g", "id", 3)
+    want = {r["id"] for r in df.filter("g is not null").collect()}
+    assert {r["id"] for r in out.collect()} == want and len(want) < 40
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert all("md5" not in line for line in text.split("\n") if "Filter" in line or "Join" in line)
+
+
+def test_jittered_predictions_hash_once_and_join_before_they_are_expanded(spark, sf):
+    from furrow.plans import q_eval
+    from furrow.sources import fixtures as fx
+    text = fx.preds_cls(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("concat_ws(:, rule_jitter5, N,") == 1
+    wide, long = fx.preds_cls_wide(spark, sf), fx.preds_cls(spark, sf)
+    assert long.count() == 3 * wide.count() and long.columns == ["obs_id", "model", "Crop", "y", "yhat"]
+    tree = q_eval._folded(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert min(i for i, line in enumerate(tree) if "Generate" in line) < min(i for i, line in enumerate(tree) if "Join" in line)
