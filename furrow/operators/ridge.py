@@ -1,7 +1,7 @@
 """Ridge regression in closed form: one pass over the rows, then a d x d system.
 
-All second moments are central moments (``covar_pop``), which merge across partitions without cancellation; one aggregate gives them
-all, and the driver holds d (d + 1) / 2 + 2 d + 2 numbers. With standardised features Z (population deviation) the coefficients
+All second moments are central moments, which merge across partitions without cancellation: a task sums its Arrow batches as matrix
+products and sends d (d + 1) + 1 numbers. (One SQL aggregate of all d (d + 1) / 2 pairs is too large a method for the JVM's compiler.) With standardised features Z (population deviation) the coefficients
 solve ``(Z'Z + alpha I) w = Z'y`` by Cholesky. There is no iteration and no cached table.
 
 Rows with a null feature or target take no part; a feature without variance gets coefficient 0; no rows give no model.
@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +20,34 @@ from pyspark.sql import functions as F
 def central_moments(df: DataFrame, columns: dict[str, Column]) -> tuple[int, np.ndarray, np.ndarray]:
     """(n, means, population covariance) of the rows where all columns are known, in one aggregate."""
     names = list(columns)
-    t = df.select(*[columns[c].cast("double").alias(f"c{i}") for i, c in enumerate(names)]).dropna()
+    t = df.select(*[columns[c].cast("double").alias(f"c{i}") for i, c in enumerate(names)])
     d = len(names)
-    row = t.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"c{i}").alias(f"m{i}") for i in range(d)],
-                *[F.covar_pop(f"c{i}", f"c{j}").alias(f"v{i}_{j}") for i in range(d) for j in range(i, d)]).first()
-    if not row["n"]:
-        return 0, np.zeros(d), np.zeros((d, d))
-    cov = np.array([[row[f"v{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
-    return row["n"], np.array([row[f"m{i}"] for i in range(d)]), cov
+
+    def run(batches):
+        total = 0, np.zeros(d), np.zeros((d, d))
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            x = x[:, ~np.isnan(x).any(axis=0)]  # a null is NaN here
+            if x.shape[1]:
+                m = x.mean(axis=1)
+                x = x - m[:, None]
+                total = _merged(total, (x.shape[1], m, x @ x.T))
+        yield pa.RecordBatch.from_pydict({"n": [total[0]], "m": [total[1].tolist()], "s": [total[2].ravel().tolist()]})
+
+    total = 0, np.zeros(d), np.zeros((d, d))
+    for r in t.mapInArrow(run, "n long, m array<double>, s array<double>").collect():  # d (d + 1) + 1 numbers a task
+        total = _merged(total, (r["n"], np.array(r["m"]), np.array(r["s"]).reshape(d, d)))
+    n, mean, sums = total
+    return n, mean, sums / max(n, 1)
+
+
+def _merged(a, b):
+    """(n, means, sums of centred products) of two disjoint sets of rows."""
+    n = a[0] + b[0]
+    if not a[0] or not b[0]:
+        return a if a[0] else b
+    shift = b[1] - a[1]
+    return n, a[1] + shift * (b[0] / n), a[2] + b[2] + np.outer(shift, shift) * (a[0] * b[0] / n)
 
 
 def gram(df: DataFrame, columns: dict[str, Column], decimals: int = 6) -> DataFrame:

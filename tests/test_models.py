@@ -163,3 +163,21 @@ def test_tree_bins_follow_the_categories(spark):
     m = models.fit_pipeline(df, ["x"], ["c"], "y", est)
     assert m.stages[-1].getOrDefault("maxBins") == 91
     assert m.transform(df).count() == 900
+
+
+def test_moments_leave_out_nulls_and_nan_and_merge(spark):
+    from furrow.operators import ridge
+    r = np.random.default_rng(1)
+    x = r.normal(size=(60, 3)) * [1, 10, 1e-3] + [1e6, 0, 5]
+    rows = [tuple(map(float, v)) for v in x] + [(None, 1.0, 2.0), (1.0, float("nan"), 2.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(7)
+    n, mean, cov = ridge.central_moments(df, {c: F.col(c) for c in "abc"})
+    assert n == 60 and np.allclose(mean, x.mean(axis=0)) and np.allclose(cov, np.cov(x.T, bias=True))
+    n, mean, cov = ridge.central_moments(df.limit(0), {c: F.col(c) for c in "abc"})
+    assert n == 0 and not mean.any() and not cov.any()
+
+
+def test_test_rows_come_from_the_cached_table(spark, sf):
+    from furrow.plans import q_models
+    for split in (q_models.crop_split, q_models.fert_split, q_models.yield_split):
+        assert "InMemoryTableScan" in split(spark, sf)[1]._jdf.queryExecution().executedPlan().toString()
