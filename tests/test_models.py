@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -181,3 +182,31 @@ def test_test_rows_come_from_the_cached_table(spark, sf):
     from furrow.plans import q_models
     for split in (q_models.crop_split, q_models.fert_split, q_models.yield_split):
         assert "InMemoryTableScan" in split(spark, sf)[1]._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("cells", [0, 40, 1 << 21])
+def test_shapley_by_tables_and_walks_equals_all_subsets(spark, monkeypatch, cells):
+    """The expectations of small and of large subsets, by table and by walk, in whatever proportion; groups of trees add up."""
+    from furrow.operators import explain
+    r = np.random.default_rng(9)
+    rows = [(i, *(float(v) for v in r.integers(0, 9, 3)), f"k{r.integers(0, 6)}", f"c{int(r.integers(0, 3))}") for i in range(300)]
+    df = spark.createDataFrame(rows, "obs_id long, a double, b double, d double, k string, y string")
+    m = models.fit_pipeline(df, ["a", "b", "d"], ["k"], "y", models.classifier("random_forest", 4, num_trees=5, max_depth=7))
+    trees = explain.forest_tables(spark, m.stages[-1])
+    x = np.array([v.x for v in m.transform(df).select(vector_to_array("raw").alias("x")).collect()])
+    x = np.concatenate([x] * 40)  # enough rows for the tables to be worth their while
+    monkeypatch.setattr(explain, "CELLS", cells)
+    calls, direct = [], explain.shapley
+    monkeypatch.setattr(explain, "shapley", lambda *a: calls.append(1) or direct(*a))
+    whole = explain.leaf_table(trees, 4)
+    for size in (whole.nbytes, whole.nbytes // 3):
+        groups = list(explain.subforests(trees, 4, size))
+        assert len(groups) == (1 if size == whole.nbytes else 5)
+        for c in range(3):
+            parts = [g.shapley(x, c) for g in groups]
+            phi, base, prob = (sum(p[i] for p in parts) for i in range(3))
+            want = direct(whole, x[:300], np.full(300, c))
+            assert np.allclose(phi, np.concatenate([want[0]] * 40), atol=1e-12)
+            assert np.allclose(base[:300], want[1], atol=1e-12) and np.allclose(prob[:300], want[2], atol=1e-12)
+    assert not calls
+    assert np.allclose(direct(whole, x[:20], np.full(20, 1))[0], subsets_by_brute_force(trees, x[:20], np.full(20, 1)), atol=1e-10)
