@@ -221,3 +221,17 @@ def test_jittered_predictions_hash_once_and_join_before_they_are_expanded(spark,
     assert long.count() == 3 * wide.count() and long.columns == ["obs_id", "model", "Crop", "y", "yhat"]
     tree = q_eval._folded(spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert min(i for i, line in enumerate(tree) if "Generate" in line) < min(i for i, line in enumerate(tree) if "Join" in line)
+
+
+def test_joins_of_the_field_records_are_dealt_out_by_row_count(spark, sf, monkeypatch):
+    from furrow.sources import fixtures
+    plain = fixtures.yield_raw(spark, sf)
+    assert "RepartitionByExpression" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    rows = plain.count()
+    monkeypatch.setattr(fixtures, "JOIN_ROWS", rows // 40)
+    dealt = fixtures.yield_raw(spark, sf)
+    parts = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // (rows // 40))
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    for key in ("o_custkey", "l_orderkey", "l_partkey"):
+        assert any(f"[{key}#" in line and line.rstrip().endswith(f", {parts}") for line in plan.split("\n") if "RepartitionByExpression" in line), plan
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect()))
