@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.operators.ranking import top_of_row
-from furrow.session import drop_path, scratch_path
 
 #: Bytes of leaf table in one broadcast, and row x leaf entries of one numpy block.
 GROUP_BYTES = 128 << 20
@@ -50,39 +49,23 @@ TASKS = 12
 
 
 def forest_tables(spark: SparkSession, forest) -> list[dict]:
-    """Flatten the trees of a fitted forest into node arrays (read back from its saved form)."""
-    path = scratch_path(spark, "forest")
-    forest.write().overwrite().save(path)
-    nodes = spark.read.parquet(path + "/data").select(
-        "treeID", "nodeData.id", "nodeData.impurityStats", "nodeData.leftChild", "nodeData.rightChild",
-        F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold").alias("thr"),
-        F.col("nodeData.split.numCategories").alias("ncat")).toPandas()  # the model's nodes
-    drop_path(spark, path)
-    trees = []
-    for _, t in nodes.groupby("treeID"):
-        t = t.sort_values("id")
-        n = int(t["id"].max()) + 1
-        stats = np.zeros((n, len(t["impurityStats"].iloc[0])))
-        feat = np.full(n, -1)
-        thr = np.zeros(n)
-        left = np.full(n, -1)
-        right = np.full(n, -1)
-        cats, ncat = [None] * n, 0
-        for r in t.itertuples(index=False):
-            stats[r.id] = r.impurityStats
-            left[r.id], right[r.id] = r.leftChild, r.rightChild
-            if r.leftChild >= 0:
-                feat[r.id] = r.feature
-                if r.ncat is not None and r.ncat >= 0:
-                    cats[r.id] = np.array(r.thr)
-                    ncat = max(ncat, int(r.ncat))
-                else:
-                    thr[r.id] = r.thr[0]
+    """The trees of a fitted forest as node arrays."""
+    trees, g = [], forest.grower
+    for _, t in forest.nodes():
+        inner = np.flatnonzero(t.left >= 0)
+        sets = inner[g.categorical[t.feature[inner]]]
+        feat, thr, cats = np.where(t.left >= 0, t.feature, -1), np.zeros(len(t.left)), [None] * len(t.left)
+        for j in range(g.d):
+            on = inner[t.feature[inner] == j]
+            if not g.arity[j]:
+                thr[on] = g.cuts[j][t.cut[on]]
+        for i in sets.tolist():
+            cats[i] = np.flatnonzero(t.goes[t.cut[i], :g.arity[t.feature[i]]]).astype(float)
+        stats = t.stats(g.classes)
         cover = stats.sum(axis=1)
-        value = stats / np.where(cover > 0, cover, 1.0)[:, None]
-        trees.append({"feat": feat, "thr": thr, "left": left, "right": right, "cover": cover,
-                      "value": value, "cats": cats, "ncat": ncat})
+        trees.append({"feat": feat, "thr": thr, "left": t.left, "right": np.where(t.left >= 0, t.left + 1, -1), "cover": cover,
+                      "value": stats / np.where(cover > 0, cover, 1.0)[:, None], "cats": cats,
+                      "ncat": max([g.arity[t.feature[i]] for i in sets.tolist()], default=0)})
     return trees
 
 

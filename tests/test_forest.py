@@ -86,3 +86,56 @@ def test_a_number_with_few_values_can_be_cut_between_all_of_them(spark):
     prep = models.fit_features(t, ["a"], [], None).transform(t)
     m = models.regressor("random_forest", num_trees=3, max_depth=3, max_bins=32).fit(prep)
     assert m.transform(prep).where(F.abs(F.col("prediction") - F.col("y")) > 1e-9).count() == 0
+
+
+def test_fitted_forest_stays_out_of_the_driver(spark, rows, monkeypatch, tmp_path):
+    """Its nodes are no JVM objects; parts and groups of any size score the same, saved and loaded; a null scores null."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.util import JavaMLWritable
+
+    from furrow.operators import forestmodel
+    m = models.fit_pipeline(rows, ["a", "b"], ["kind"], "cls", models.classifier("random_forest", 3, num_trees=4))
+    f = m.stages[-1]
+    assert not isinstance(f, JavaMLWritable) and not hasattr(f, "_java_obj")
+    want = m.transform(rows).select("id", "prediction", vector_to_array("probability").alias("p")).orderBy("id", "p").collect()
+    assert sum(v.p[int(v.prediction)] == max(v.p) for v in want) == len(want)
+    monkeypatch.setattr(forest, "LOCAL_ROWS", 150)
+    monkeypatch.setattr(forestmodel, "PART_NODES", 50)
+    monkeypatch.setattr(forestmodel, "GROUP_NODES", 200)
+    monkeypatch.setattr(forestmodel, "CHUNK", 100)
+    m = models.fit_pipeline(rows, ["a", "b"], ["kind"], "cls", models.classifier("random_forest", 3, num_trees=4))
+    assert len(set(m.stages[-1].parts.values())) > 8 and len(m.stages[-1].groups()[0]) > 2
+    trees = [t for _, t in m.stages[-1].nodes()]
+    assert [len(t.left) for t in trees] == [t.numNodes for t in m.stages[-1].trees]
+    m.write().overwrite().save(str(tmp_path / "m"))
+    loaded = PipelineModel.load(str(tmp_path / "m"))
+    a, b = (k.transform(rows).select("id", "prediction", vector_to_array("probability").alias("p")).orderBy("id", "p").collect() for k in (m, loaded))
+    assert a == b and len(a) == len(want)
+    x = m.transform(rows).where("id < 20").select("id", F.when(F.col("id") < 7, vector_to_array("raw")).alias("x"))
+    got = x.select("id", m.stages[-1].scored(F.col("x"))["votes"].alias("v")).collect()
+    assert all((r.v is None) == (r.id >= 7) for r in got)
+
+
+def test_small_nodes_are_split_from_their_rows_as_from_histograms():
+    rng = np.random.default_rng(5)
+    for classes in (0, 2, 4):
+        g = forest.Grower(1, 9, classes, [0, 5, 0], [np.arange(7.0), np.empty(0), np.arange(7.0)], 8, 2, 2, 0.0, 42, 3.0)
+        node, m = rng.integers(0, 40, 600), 40
+        x = np.stack([rng.integers(0, 8, 600), rng.integers(0, 5, 600), rng.integers(0, 8, 600)], axis=1)
+        y, w = rng.integers(0, classes, 600) if classes else rng.normal(size=600), rng.integers(1, 4, 600).astype(np.uint8)
+        feats, imp = g.features(m, 7), g.impurity(g.totals(node, m, y, w.astype(float)))
+        want = g.best_splits(g.histogram(x, node, m, feats, y, w), feats, imp)
+        got = g.few_splits(x, node, m, feats, y, w, imp)
+        assert (want[0] == got[0]).all() and (want[1] == got[1]).all()
+        on = want[0] >= 0
+        seen = np.zeros((m, 5, 8), dtype=bool)  # categories that a node doesn't have may go either way
+        seen[node, 0, x[:, 0]] = seen[node, 1, x[:, 1]] = seen[node, 2, x[:, 2]] = True
+        held = seen[np.arange(m), np.maximum(want[0], 0)]
+        assert on.sum() > 20 and ((want[2] == got[2]) | ~held)[on].all()
+
+
+def test_weights_are_poisson_shares_of_the_hash():
+    h = np.random.default_rng(1).integers(0, 2 ** 63, 200_000).astype(np.uint64)
+    g = forest.Grower(1, 5, 2, [0], [np.arange(5.0)], 6, 1, 1, 0.0, 42)
+    w = g.weights(h, 3)
+    assert w.max() < 11 and np.abs(np.bincount(w, minlength=4)[:4] / len(w) - np.exp(-1) / np.array([1, 1, 2, 6])).max() < 0.005
