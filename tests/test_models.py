@@ -210,3 +210,26 @@ def test_shapley_by_tables_and_walks_equals_all_subsets(spark, monkeypatch, cell
             assert np.allclose(base[:300], want[1], atol=1e-12) and np.allclose(prob[:300], want[2], atol=1e-12)
     assert not calls
     assert np.allclose(direct(whole, x[:20], np.full(20, 1))[0], subsets_by_brute_force(trees, x[:20], np.full(20, 1)), atol=1e-10)
+
+
+def test_yield_forest_is_the_whole_forest():
+    """100 trees without a depth limit, as the reference's."""
+    est = models.regressor("random_forest")
+    assert (est.getNumTrees(), est.getMaxDepth()) == (100, models.UNLIMITED_DEPTH)
+
+
+def test_fit_rf_regressor_takes_the_whole_forest(spark, monkeypatch):
+    seen = []
+
+    class Seen(Exception):
+        pass
+
+    def fit(train, numeric, categorical, label, estimator):
+        seen.append((estimator.getNumTrees(), estimator.getMaxDepth()))
+        raise Seen
+
+    monkeypatch.setattr(models, "fit_pipeline", fit)
+    monkeypatch.setattr(q_models, "yield_split", lambda *a: (None, None))
+    with pytest.raises(Seen):
+        q_models.fit_rf_regressor(spark, "")
+    assert seen == [(100, models.UNLIMITED_DEPTH)]
