@@ -139,3 +139,17 @@ def test_weights_are_poisson_shares_of_the_hash():
     g = forest.Grower(1, 5, 2, [0], [np.arange(5.0)], 6, 1, 1, 0.0, 42)
     w = g.weights(h, 3)
     assert w.max() < 11 and np.abs(np.bincount(w, minlength=4)[:4] / len(w) - np.exp(-1) / np.array([1, 1, 2, 6])).max() < 0.005
+
+
+def test_one_forest_serves_the_whole_grid(rows, monkeypatch):
+    """The first trees, cut at a depth, are the forest that is fitted with so many trees and that depth."""
+    from furrow.plans import q_models
+    prep = models.fit_features(rows, ["a", "b"], ["kind"], "cls").transform(rows).withColumn("fold", (F.col("id") % 2).cast("int")).cache()
+    monkeypatch.setattr(forest, "LOCAL_ROWS", 800)
+    train, test = prep.where("fold <> 0"), prep.where("fold = 0")
+    got = q_models.fold_accuracies(train, test, 1, [2, 4], [12, 3])
+    for (n, depth), v in got.items():
+        m = models.classifier("random_forest", 3, num_trees=n, max_depth=depth).fit(train)
+        assert abs(v - m.transform(test).agg(F.avg((F.col("prediction") == F.col("label_idx")).cast("double"))).first()[0]) < 1e-12
+    assert [r[:3] for r in q_models.tune(prep, 2, [2, 4], [3], [1, 2])] == [(2, 3, 1), (2, 3, 2), (4, 3, 1), (4, 3, 2)]
+    assert (q_models.TUNE_TREES, sorted(q_models.TUNE_DEPTHS), q_models.TUNE_FOLDS) == ([100, 200], [10, 20, models.UNLIMITED_DEPTH], 3)
